@@ -9,11 +9,33 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.token_counts import token_counts
+
+    return token_counts(spark, _read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmill.llm.packing import pack_documents
+
+    return pack_documents(spark, _read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexmill.llm.ngram_join import jaccard_groups
 
     return jaccard_groups(spark, _read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op8_ngram_jaccard": op8_ngram_jaccard}
+QUERIES = {
+    "op2_token_counts": op2_token_counts,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
+}
 ORACLE_SQL: dict[str, str] = {}
