@@ -4,10 +4,12 @@ Two documents link when ``100 * |A n B| >= threshold * |A u B|`` over their sets
 of distinct five-word shingles.  The result is exact whatever the data.
 
 1. Documents with equal sets collapse into one class (copies cost nothing more).
-2. In a fixed global order of shingles a linked pair shares one of the first
-   ``n - ceil(t n) + 1`` shingles of either set.  The order is by hash, with
+2. In a fixed global order of shingles, the first c of a linked pair's overlap lie
+   among the first ``n - ceil(t n) + c`` of either set.  The order is by hash, with
    shingles that repeat often last.  (That list of frequent shingles is bounded;
-   it steers cost only, any order gives the same links.)
+   it steers cost only, any order gives the same links.)  With c a tenth of the
+   set, a class of which fewer leading shingles meet another class can't link and
+   is dropped with its entries; that is repeated, as others may fall with it.
 3. Classes that share such a shingle are chained in order of set size, a chain
    being cut where sizes alone forbid a link.  Chains need one edge per entry,
    not one per pair.  The connected parts are independent blocks of the product.
@@ -42,8 +44,10 @@ from lexmill.llm.scratch import Scratch
 
 SHINGLE_WORDS = 5
 THRESHOLD = 80
+SHARED_PERCENT = 10
 FREQUENT_KEPT = 1 << 17
 FREQUENT_LEAST = 16
+PRUNING_ROUNDS = 3
 BLOCK_ROWS = 3000
 BLOCK_CELLS = 4_000_000
 
@@ -90,8 +94,14 @@ def _digest(size: int, flush: int = 4_000_000):
     return run
 
 
+def _shared(n: int) -> int:
+    """How many leading shingles two linked sets of about this size are asked to share."""
+    return max(1, n * SHARED_PERCENT // 100)
+
+
 def _prefix(n: int, threshold: int) -> int:
-    return n - math.ceil(threshold * n / 100) + 1
+    """So many leading shingles hold the first ``_shared(n)`` of the overlap with any linked set."""
+    return min(n, n - math.ceil(threshold * n / 100) + _shared(n))
 
 
 def _entries(size: int, threshold: int, frequent):
@@ -243,8 +253,27 @@ def jaccard_groups(
     classes = scratch.table(own.where("n > 0 AND doc_id IS NOT NULL").groupBy("key", "n").agg(F.min("doc_id").alias("rep")))
     entries = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_entries(shingle_words, threshold, frequent), "h long, key long, n int")
     order = Window.partitionBy("h").orderBy("n", "key")
-    chained = entries.select("h", "key", "n", F.lag("key").over(order).alias("pkey"), F.lag("n").over(order).alias("pn"))
-    near = scratch.table(chained.where(F.col("pkey").isNotNull() & ~((F.col("pkey") == F.col("key")) & (F.col("pn") == F.col("n"))) & (100 * F.col("pn").cast("long") >= threshold * F.col("n").cast("long"))).groupBy("key", "n", "pkey", "pn").agg(F.lit(1).alias("one")))
+
+    def fits(low: str, high: str):
+        return F.coalesce(100 * F.col(high).cast("long") >= threshold * F.col(low).cast("long"), F.lit(False))
+
+    def other(key: str, n: str):
+        return F.coalesce((F.col(key) != F.col("key")) | (F.col(n) != F.col("n")), F.lit(False))
+
+    def met(rows: DataFrame) -> DataFrame:
+        """Entries whose shingle is led by another class of a size that could link."""
+        beside = rows.select("h", "key", "n", F.lag("key").over(order).alias("pk"), F.lag("n").over(order).alias("pn"), F.lead("key").over(order).alias("fk"), F.lead("n").over(order).alias("fn"))
+        # beyond a run of copies of one class stands another class, so copies at either end stay until they are merged
+        return beside.where((other("pk", "pn") & fits("n", "pn")) | (other("fk", "fn") & fits("fn", "n")) | (~other("pk", "pn") & F.col("pk").isNotNull()) | (~other("fk", "fn") & F.col("fk").isNotNull())).groupBy("h", "key", "n").agg(F.lit(1).alias("one")).drop("one")
+
+    kept = scratch.table(met(entries))
+    for _ in range(PRUNING_ROUNDS):
+        enough = kept.groupBy("key", "n").agg(F.count("*").alias("s")).where(F.expr(f"s >= greatest(1, ((n * {threshold} + 99) div 100) * {SHARED_PERCENT} div 100)"))
+        fewer = scratch.table(met(kept.join(enough.select("key", "n"), ["key", "n"])))
+        scratch.drop(kept)
+        kept = fewer
+    chained = kept.select("key", "n", F.lag("key").over(order).alias("pkey"), F.lag("n").over(order).alias("pn"))
+    near = chained.where(F.col("pkey").isNotNull() & fits("n", "pn")).groupBy("key", "n", "pkey", "pn").agg(F.lit(1).alias("one"))
     edges = near.join(classes.withColumnRenamed("rep", "a"), ["key", "n"]).join(classes.select(F.col("key").alias("pkey"), F.col("n").alias("pn"), F.col("rep").alias("b")), ["pkey", "pn"]).select("a", "b")
     parts = scratch.table(components(edges, scratch))
 
