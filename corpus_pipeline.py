@@ -1,6 +1,86 @@
-STAGES = []
+"""From raw documents to packed token sequences, in five stages.
+
+Each stage takes the documents that its predecessor kept, whole, and returns
+the columns of documents; the last returns packed pieces.  A stage's result is
+written as Parquet in the shared folder and read again by the next, so a lost
+executor costs no more than the tasks that it was running.
+
+Null or empty texts and texts without a letter leave at the first stage; the
+other stages keep whatever they have no reason to drop.  Rows that share one
+doc_id are one document to the near-duplicate stage, which keeps one of them; a
+null doc_id is never dropped there.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexmill.llm import decontaminate, lang_id, line_dedup, ngram_join, packing
+from lexmill.llm.scratch import Scratch
+
+#: a document goes where the likeliest language has less than this
+LEAST_LANGUAGE_SCORE = 0.3
+VOCABULARY = "word_bpe_49k.json"
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in one of the languages that the labelled ones show."""
+    net = lang_id.fit(docs)
+    return lang_id.keep_known(spark, docs, net, least=LEAST_LANGUAGE_SCORE)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut multi-line chunks that an earlier document has; n_chars follows the text."""
+    out = line_dedup.dedup_lines(spark, docs)
+    if "n_chars" in docs.columns:
+        changed = F.col("__lines_removed") > 0
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: that of the smallest id."""
+    scratch = Scratch(spark, "near-duplicates")
+    groups = scratch.table(ngram_join.jaccard_groups(spark, docs).select("doc_id", "component_id"))
+    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti")
+    repeated = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate.drop_contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 2048."""
+    import public_tokenizers
+
+    return packing.pack_documents(spark, docs, public_tokenizers.path(VOCABULARY))
+
+
+STAGES = [
+    ("language identification", language),
+    ("line dedup", lines),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("best-fit packing", packed),
+]
+
+#: trained models and a tokenizer decide, which SQL cannot say; tests/llm holds the brute-force version
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.table(docs)
+    return docs

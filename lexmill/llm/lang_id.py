@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -203,6 +204,26 @@ def predict(spark: SparkSession, docs: DataFrame, net: Network, text: str = "tex
     return rows.mapInArrow(_predictor(shared, window), schema)
 
 
+def _keeper(shared, window: int, at: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value, window)
+        for batch in batches:
+            text = batch.column(at)
+            keep = pc.fill_null(pc.match_substring_regex(text, r"\pL"), False).to_numpy(zero_copy_only=False).astype(bool)
+            for first, data, offsets in wordhash.blocks(text):
+                n = len(offsets) - 1
+                keep[first : first + n] &= scorer.scores(data, offsets).max(axis=1) >= least
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def keep_known(spark: SparkSession, docs: DataFrame, net: Network, least: float, text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` with a letter and a likeliest language of at least ``least``, as they came."""
+    shared = spark.sparkContext.broadcast(net)
+    return docs.mapInArrow(_keeper(shared, window, docs.columns.index(text), least), docs.schema)
+
+
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds``; a null id falls into none."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
