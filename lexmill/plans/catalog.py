@@ -1,4 +1,454 @@
-"""The registered queries and their SQL twins."""
+"""The registered queries over the driver's tables and, where SQL can say the same, their DuckDB twins.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Every query runs over its whole tables and whole texts.  ``sentences`` are the
+lines of ``documents.text`` with their words; ``runs`` are its distinct runs of
+letters, lower-cased.  Models are synthetic integers, so sums are exact.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexmill.functions import tags as tg
+from lexmill.functions import templates as tp
+from lexmill.functions import text as X
+from lexmill.operators import decode, dictseg, features, hybrid, instances, model, pretok, train
+from lexmill.sources import corpus
+from lexmill.sources.config import TrainingParams
+
+#: thresholds of the filter query
+RULES = "U00 5\nU01 5\nU03 20\nU04 20"
+HAN = "的一是不了人我在有他这中大来上国个到说们为子和你地"
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+
+
+def sentences(spark: SparkSession, d: str) -> DataFrame:
+    """``key, words`` of every line that has words, lower-cased."""
+    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
+    words = F.filter(F.split("line", r"[ \t\r\f\x0B]+"), lambda w: w != "")
+    return lines.select(F.concat_ws("-", "doc_id", "line_no").alias("key"), words.alias("words")).where(F.size("words") > 0)
+
+
+_SENTENCES = """
+lines AS (
+  SELECT doc_id || '-' || (i - 1) AS key, list_filter(regexp_split_to_array(parts[i], '[ \\t\\r\\f\\v]+'), lambda w: w <> '') AS words
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(lower(text), chr(10)) AS parts FROM documents WHERE text IS NOT NULL))
+), sentences AS (SELECT key, words, array_to_string(words, '') AS sentence FROM lines WHERE len(words) > 0)
+"""
+_CHARS = _SENTENCES + """
+, chars AS (SELECT key, unnest(range(1, length(sentence) + 1)) AS i, unnest(string_split(sentence, '')) AS c FROM sentences)
+, windows AS (
+  SELECT key, i, c, lag(c, 1, '_B-1') OVER w AS p, lead(c, 1, '_B+1') OVER w AS n FROM chars WINDOW w AS (PARTITION BY key ORDER BY i)
+)
+"""
+_FEATURES = _CHARS + """
+, expanded AS (
+  SELECT key, i, unnest([0, 1, 2, 3, 4, 5]) AS t,
+         unnest(['U00:' || p, 'U01:' || c, 'U02:' || n, 'U03:' || p || '/' || c, 'U04:' || c || '/' || n, 'U05:' || p || '/' || n]) AS feature
+  FROM windows
+), inner_features AS (SELECT * FROM expanded WHERE NOT contains(feature, '_B-') AND NOT contains(feature, '_B+'))
+, counts AS (SELECT feature, count(*) AS cnt FROM inner_features GROUP BY feature)
+, dict AS (SELECT feature, CAST(row_number() OVER (ORDER BY feature) - 1 AS INTEGER) AS attr_id FROM counts)
+"""
+_RUNS = """
+runs AS (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS run FROM documents WHERE text IS NOT NULL)
+, words AS (SELECT run AS word FROM runs WHERE length(run) BETWEEN 2 AND 6 GROUP BY run HAVING count(*) >= 5)
+, drun AS (SELECT DISTINCT run FROM runs)
+"""
+
+
+def runs(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("run"))
+
+
+def dictionary_words(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of two to six letters met five times or more."""
+    return runs(spark, d).where(F.length("run").between(2, 6)).groupBy("run").agg(F.count("*").alias("n")).where("n >= 5").select(F.col("run").alias("word"))
+
+
+def _features(spark, d):
+    return features.sentence_features(sentences(spark, d), F.array_join("words", ""))
+
+
+def _dictionary(spark, d):
+    return features.dictionary(_features(spark, d))
+
+
+def synthetic_attr_weights(dictionary: DataFrame) -> DataFrame:
+    return dictionary.select("attr_id", F.array(*[((F.col("attr_id") * 31 + k * 17) % 23 - 11).cast("double") for k in range(6)]).alias("w"))
+
+
+def synthetic_model_weights(spark: SparkSession) -> DataFrame:
+    rows = [(k, i, float((i * 7 + s) % 13 - 6)) for k, n, s in (("bw", 6, 1), ("ew", 6, 5), ("tw", 36, 3)) for i in range(n)]
+    return spark.createDataFrame(rows, "kind string, idx int, w double")
+
+
+def _run_instances(spark, d):
+    """Distinct runs as one-word sentences, encoded with the dictionary of all lines."""
+    words = runs(spark, d).distinct().select(F.col("run").alias("key"), F.array("run").alias("words"))
+    dictionary = _dictionary(spark, d)
+    return instances.encode_words(words, "key", "words", dictionary), dictionary
+
+
+# --- queries -----------------------------------------------------------------------------------
+
+def word_count(spark, d):
+    words = _docs(spark, d).select(F.explode(F.split(X.normalize(F.col("text")), r"[ \t\r\n\f\x0B]+")).alias("word")).where("word <> ''")
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def char_explode(spark, d):
+    return _docs(spark, d).select(F.explode(X.chars(F.col("text"))).alias("ch")).groupBy("ch").agg(F.count("*").alias("n"))
+
+
+def template_expand(spark, d):
+    """Every feature, boundary ones too, by template and sentence."""
+    made = sentences(spark, d).select("key", F.explode(tp.expand(X.chars(F.array_join("words", "")))).alias("feature"))
+    return made.groupBy("key", X.feature_prefix(F.col("feature")).alias("template")).agg(F.count("*").alias("n"), F.count_if(tp.is_boundary(F.col("feature"))).alias("n_boundary"), F.min("feature").alias("first"), F.max("feature").alias("last"))
+
+
+def context_window(spark, d):
+    made = sentences(spark, d).select(F.explode(tp.expand(X.chars(F.array_join("words", "")), [tp.parse("%x[-1,0]|%x[0,0]|%x[1,0]")])).alias("context"))
+    return made.groupBy("context").agg(F.count("*").alias("n"))
+
+
+def feature_count(spark, d):
+    return features.count(_features(spark, d))
+
+
+def feature_histogram(spark, d):
+    return features.histogram(feature_count(spark, d))
+
+
+def feature_buckets(spark, d):
+    return features.buckets(feature_count(spark, d))
+
+
+def feature_filter(spark, d):
+    return features.filtered(feature_count(spark, d), corpus.rules(spark, RULES))
+
+
+def feature_filter_stat(spark, d):
+    return features.filter_stat(feature_count(spark, d), corpus.rules(spark, RULES))
+
+
+def feature_dict(spark, d):
+    return _dictionary(spark, d).select("feature", "attr_id")
+
+
+def reverse_lookup(spark, d):
+    found = _dictionary(spark, d)
+    wanted = found.where("attr_id % 7 = 3").select("attr_id")
+    return wanted.join(found, "attr_id").select("attr_id", "feature")
+
+
+def feature_shrink(spark, d):
+    made = _features(spark, d)
+    found = features.dictionary(made)
+    return features.shrink(found, made.join(found, "feature").select("attr_id"), 10)
+
+
+def tags_encode(spark, d):
+    s = sentences(spark, d)
+    return s.select("key", F.array_join(tg.words_to_tags(F.col("words")), " ").alias("tags"))
+
+
+def tags_decode(spark, d):
+    """Words back from their tags."""
+    s = sentences(spark, d).select("key", tg.words_to_tags(F.col("words")).alias("tags"), F.array_join("words", "").alias("sentence"))
+    return s.select("key", F.array_join(tg.tags_to_words(F.col("tags"), F.col("sentence")), " ").alias("words"))
+
+
+def tag_histogram(spark, d):
+    return sentences(spark, d).select(F.explode(tg.words_to_tags(F.col("words"))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+def instance_encode(spark, d):
+    """Ids of every sentence, folded to exact sums by sentence."""
+    enc = instances.encode_words(sentences(spark, d), "key", "words", _dictionary(spark, d))
+    total = lambda c: F.aggregate(F.transform(c, lambda x, i: x.cast("long") * (i % 97 + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return enc.select("key", "n", F.size("attr_ids").alias("n_ids"), F.size(F.filter("attr_ids", lambda x: x < 0)).alias("n_missing"), total(F.col("attr_ids")).alias("id_sum"), total(F.col("label_ids")).alias("label_sum"))
+
+
+def instance_json(spark, d):
+    enc, _ = _run_instances(spark, d)
+    lines = corpus.instance_json(enc)
+    back = corpus.parse_instance_json(lines)
+    return back.agg(F.count("*").alias("instances"), F.sum("n").alias("items"), F.sum(F.size("attr_ids")).alias("ids"))
+
+
+def crfpp_parse(spark, d):
+    """Documents written in column form (a word and its length a line) and read back."""
+    shown = F.array_join(F.transform(F.filter(F.split("text", r"[ \t\r\n\f\x0B]+"), lambda w: w != ""), lambda w: F.concat(w, F.lit("\t"), F.length(w).cast("string"))), "\n")
+    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "text")).select("doc_id", "k", shown.alias("s")).where("s <> ''")
+    whole = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]), "\n\n").alias("value"))
+    out = corpus.column_text(whole, "doc_id")
+    return out.select("doc_id", "sent_no", "n", F.array_join(F.transform("cols", lambda c: F.get(c, F.lit(0))), " ").alias("words"), F.array_join("labels", " ").alias("labels"))
+
+
+def fmm(spark, d):
+    got = dictseg.forward(runs(spark, d), dictionary_words(spark, d))
+    return got.select("run", F.array_join(dictseg.cut(F.col("run"), F.col("lengths")), "/").alias("words"))
+
+
+def bmm(spark, d):
+    got = dictseg.backward(runs(spark, d), dictionary_words(spark, d))
+    return got.select("run", F.array_join(dictseg.cut(F.col("run"), F.col("lengths")), "/").alias("words"))
+
+
+def seg_disagreement(spark, d):
+    got = dictseg.both(runs(spark, d), dictionary_words(spark, d)).where("NOT same")
+    return got.select("run", F.posexplode(dictseg.regions(F.col("fwd"), F.col("bwd"))).alias("k", "r")).select("run", "r.start", "r.end", "r.i0", "r.j0", "r.i1", "r.j1")
+
+
+def number_merge(spark, d):
+    """Digits written as number characters, kept whole by the walk."""
+    shown = F.translate("text", "0123456789", "零一二三四五六七八九")
+    found = _docs(spark, d).select(F.explode(F.regexp_extract_all(shown, F.lit(f"[{X.NUMBER_CHARS}]+"), F.lit(0))).alias("run"))
+    none = dictionary_words(spark, d)
+    return dictseg.forward(found, none, numbers=True).select("run", F.array_join(dictseg.cut(F.col("run"), F.col("lengths")), "/").alias("words"))
+
+
+def uax29_tokens(spark, d):
+    got = _docs(spark, d).select(F.explode(pretok.tokens(F.col("text"))).alias("t")).where("t.type IS NOT NULL")
+    return got.groupBy("t.text", "t.type").agg(F.count("*").alias("n"))
+
+
+def token_type_histogram(spark, d):
+    return _docs(spark, d).select(F.explode(pretok.tokens(F.col("text"))).alias("t")).groupBy(F.coalesce("t.type", F.lit("NONE")).alias("type")).agg(F.count("*").alias("n"))
+
+
+def run_grouping(spark, d):
+    """Letters shown as ideographs, grouped into runs."""
+    shown = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxy", HAN)
+    got = _docs(spark, d).select(F.explode(pretok.groups(shown)).alias("t"))
+    return got.groupBy("t.type", (F.col("t.end") - F.col("t.begin")).alias("length")).agg(F.count("*").alias("n"))
+
+
+def state_scores(spark, d):
+    enc, dictionary = _run_instances(spark, d)
+    rows = decode.attribute_rows(enc, synthetic_attr_weights(dictionary))
+    return rows.select("key", F.posexplode("s").alias("label", "s")).groupBy("key", "label").agg(F.sum("s").alias("score"))
+
+
+def path_score(spark, d):
+    enc, dictionary = _run_instances(spark, d)
+    return decode.path_scores(enc, synthetic_attr_weights(dictionary), synthetic_model_weights(spark))
+
+
+def viterbi(spark, d):
+    enc, dictionary = _run_instances(spark, d)
+    return decode.viterbi(enc, synthetic_attr_weights(dictionary), synthetic_model_weights(spark)).select("key", "score")
+
+
+def nbest(spark, d):
+    enc, dictionary = _run_instances(spark, d)
+    got = decode.n_best(enc, synthetic_attr_weights(dictionary), synthetic_model_weights(spark), 3)
+    return got.select("key", "rank", "score", F.array_join(tg.tag_text(F.col("label_ids")), " ").alias("tags"))
+
+
+def segment_crf(spark, d):
+    found = _dictionary(spark, d)
+    given = runs(spark, d).distinct().select(F.col("run").alias("key"), F.col("run").alias("sentence"))
+    got = hybrid.segment_crf(given, "key", "sentence", found, synthetic_attr_weights(found), synthetic_model_weights(spark))
+    return got.select("key", F.array_join("words", "/").alias("words"))
+
+
+def segment_hybrid(spark, d):
+    found = _dictionary(spark, d)
+    got = hybrid.segment(_docs(spark, d).withColumn("text", F.lower("text")), "doc_id", "text", dictionary_words(spark, d), found, synthetic_attr_weights(found), synthetic_model_weights(spark))
+    return got.select(F.col("key").alias("doc_id"), F.size("words").alias("n_words"), F.array_join("words", "").alias("joined"))
+
+
+def loglik_zero(spark, d):
+    enc, dictionary = _run_instances(spark, d)
+    zero = dictionary.select("attr_id", F.array(*[F.lit(0.0)] * 6).alias("w"))
+    none = synthetic_model_weights(spark).withColumn("w", F.lit(0.0))
+    return decode.log_probs(enc, zero, none).agg(F.round(F.sum("logp"), 3).alias("loglik"))
+
+
+def _predicted(spark, d):
+    """Gold tags, and tags in which every item whose place in its sentence is a multiple of five is S."""
+    s = sentences(spark, d).select("key", tg.words_to_tags(F.col("words")).alias("gold"))
+    return s.withColumn("pred", F.transform("gold", lambda t, i: F.when(i % 5 == 0, F.lit("S")).otherwise(t)))
+
+
+def eval_confusion(spark, d):
+    pairs = _predicted(spark, d).select(F.explode(F.arrays_zip("gold", "pred")).alias("x")).select("x.gold", "x.pred")
+    return model.confusion(pairs).select("tag", "tp", "fp", "tn", "fn", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+def eval_accuracy(spark, d):
+    return model.accuracy(_predicted(spark, d)).withColumn("item_accuracy", F.round("item_accuracy", 9)).withColumn("sentence_accuracy", F.round("sentence_accuracy", 9))
+
+
+def _group_weights(spark, d):
+    """Four groups of feature weights; a group lacks some features."""
+    base = _dictionary(spark, d).select(F.explode(F.sequence(F.lit(0), F.lit(5))).alias("l"), "attr_id").select((F.col("attr_id") * 6 + F.col("l")).alias("idx"))
+    groups = base.select("idx", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("g")).where("(idx + g) % 4 <> 1")
+    return groups.select(F.lit("fw").alias("kind"), "idx", ((F.col("idx") * 3 + F.col("g") * 5) % 16 - 8).cast("double").alias("w"))
+
+
+def weight_average(spark, d):
+    return model.average(_group_weights(spark, d), groups=4)
+
+
+def _weights(spark, d):
+    fw = synthetic_attr_weights(_dictionary(spark, d)).select("attr_id", F.posexplode("w").alias("l", "w")).select(F.lit("fw").alias("kind"), (F.col("attr_id") * 6 + F.col("l")).cast("int").alias("idx"), "w")
+    return fw.unionByName(synthetic_model_weights(spark))
+
+
+def feature_scores(spark, d):
+    return model.scores(model.attr_weights(_weights(spark, d))).select("attr_id", "score")
+
+
+def topn_features(spark, d):
+    found = _dictionary(spark, d)
+    return model.top(model.scores(synthetic_attr_weights(found)), found, 100).select("new_id", "old_id", "feature", "score")
+
+
+def truncate_model(spark, d):
+    return model.truncate(_weights(spark, d), _dictionary(spark, d), 100)[1]
+
+
+def weight_kinds(spark, d):
+    return model.kinds(_weights(spark, d))
+
+
+def explain_features(spark, d):
+    """The strongest feature of every item and label, by run."""
+    enc, found = _run_instances(spark, d)
+    got = model.explain(enc, found, synthetic_attr_weights(found))
+    return got.select("key", "pos", "label", "score", F.get("features", F.lit(0))["feature"].alias("strongest"), F.size("features").alias("n_features"))
+
+
+def sample_k(spark, d):
+    return train.sample(_docs(spark, d).select("doc_id"), "doc_id", 50, seed=7)
+
+
+def crf_train_eval(spark, d):
+    """Train on runs as words of their lines, by averaging; accuracy over all sentences."""
+    s = sentences(spark, d)
+    found = features.shrink(_dictionary(spark, d), _features(spark, d).join(_dictionary(spark, d), "feature").select("attr_id"), 20).select("feature", "attr_id")
+    pairs = s.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.slice("words", i, F.lit(3)))).alias("words")).where(F.size("words") == 3).groupBy(F.array_join("words", " ").alias("key")).agg(F.first("words").alias("words"))
+    learn = train.sample(pairs, "key", 1200)
+    enc = instances.encode_words(learn, "key", "words", found)
+    w = train.train(enc, TrainingParams(sigma=5.0, t0=50.0), groups=4, rounds=1, epochs=2)
+    known = pairs.select("key", "words")
+    all_enc = instances.encode_words(known, "key", "words", found)
+    got = decode.viterbi(all_enc, model.attr_weights(w), w.where("kind <> 'fw'")).join(all_enc.select("key", F.col("label_ids").alias("gold")), "key")
+    return model.accuracy(got.select(tg.tag_text(F.col("gold")).alias("gold"), tg.tag_text(F.col("label_ids")).alias("pred")))
+
+
+def dir_union(spark, d):
+    """Distinct words of several files read as one."""
+    files = [f"{d}/documents.parquet", f"{d}/conversations.parquet", f"{d}/benchmark.parquet"]
+    texts = None
+    for path in files:
+        t = spark.read.parquet(path).select("text")
+        texts = t if texts is None else texts.unionAll(t)
+    return texts.select(F.explode(F.split(F.lower("text"), r"[ \t\r\n\f\x0B]+")).alias("word")).where("word <> ''").distinct()
+
+
+_QUERY_FUNCTIONS = (
+    word_count, char_explode, template_expand, context_window, feature_count, feature_histogram, feature_buckets, feature_filter, feature_filter_stat,
+    feature_dict, reverse_lookup, feature_shrink, tags_encode, tags_decode, tag_histogram, instance_encode, instance_json, crfpp_parse, fmm, bmm,
+    seg_disagreement, number_merge, uax29_tokens, token_type_histogram, run_grouping, state_scores, path_score, viterbi, nbest, segment_crf, segment_hybrid,
+    loglik_zero, eval_confusion, eval_accuracy, weight_average, feature_scores, topn_features, truncate_model, weight_kinds, explain_features, sample_k,
+    crf_train_eval, dir_union,
+)
+QUERIES = {f.__name__: f for f in _QUERY_FUNCTIONS}
+
+_WS = "'[ \\t\\r\\n\\f\\v]+'"
+_TAGS = """
+, tagged AS (SELECT key, words, flatten(list_transform(words, lambda w: CASE length(w) WHEN 1 THEN ['S'] WHEN 2 THEN ['B', 'E'] WHEN 3 THEN ['B', 'B1', 'E']
+    ELSE list_concat(['B', 'B1', 'B2'], list_transform(range(length(w) - 4), lambda x: 'M'), ['E']) END)) AS tags FROM sentences)
+"""
+_LABELS = "list_position(['S', 'B', 'E', 'B1', 'B2', 'M'], {}) - 1"
+_MODEL = """
+, w AS (SELECT attr_id, l, CAST((attr_id * 31 + l * 17) % 23 - 11 AS DOUBLE) AS w FROM dict, (SELECT unnest(range(6)) AS l))
+"""
+_SMALL = """
+, small AS (
+  SELECT 'bw' AS kind, CAST(i AS INTEGER) AS idx, CAST((i * 7 + 1) % 13 - 6 AS DOUBLE) AS w FROM range(6) t(i)
+  UNION ALL SELECT 'ew', CAST(i AS INTEGER), CAST((i * 7 + 5) % 13 - 6 AS DOUBLE) FROM range(6) t(i)
+  UNION ALL SELECT 'tw', CAST(i AS INTEGER), CAST((i * 7 + 3) % 13 - 6 AS DOUBLE) FROM range(36) t(i)
+)
+"""
+#: features of the distinct runs, with weights
+_RUN_STATES = _FEATURES + "," + _RUNS + _MODEL + """
+, rchars AS (SELECT run, unnest(range(length(run))) AS pos, unnest(string_split(run, '')) AS c FROM drun)
+, rwin AS (SELECT run, pos, c, lag(c, 1, '_B-1') OVER x AS p, lead(c, 1, '_B+1') OVER x AS n FROM rchars WINDOW x AS (PARTITION BY run ORDER BY pos))
+, rfeat AS (
+  SELECT run, pos, unnest(['U00:' || p, 'U01:' || c, 'U02:' || n, 'U03:' || p || '/' || c, 'U04:' || c || '/' || n, 'U05:' || p || '/' || n]) AS feature FROM rwin
+), states AS (SELECT run, pos, l, sum(w) AS s FROM rfeat JOIN dict USING (feature) JOIN w USING (attr_id) GROUP BY run, pos, l)
+"""
+_GOLD = """
+, gold AS (SELECT run, pos, length(run) AS n,
+    CASE WHEN length(run) = 1 THEN 0 WHEN pos = length(run) - 1 THEN 2 WHEN pos = 0 THEN 1 WHEN pos = 1 THEN 3 WHEN pos = 2 THEN 4 ELSE 5 END AS y FROM rchars)
+"""
+_WALK = """
+, hits AS (SELECT s.run, s.pos, max(length(words.word)) AS len FROM (
+    SELECT run, pos, unnest(list_transform(range(2, 7), lambda k: substr(run, CAST(pos + 1 AS BIGINT), k))) AS word, length(run) AS n FROM (SELECT run, unnest(range(length(run))) AS pos FROM {runs})
+  ) s JOIN words ON words.word = s.word GROUP BY s.run, s.pos)
+, walk AS (
+  SELECT run, CAST(0 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS lens FROM {runs}
+  UNION ALL
+  SELECT walk.run, walk.pos + coalesce(hits.len, 1), list_append(walk.lens, coalesce(hits.len, 1))
+  FROM walk LEFT JOIN hits ON hits.run = walk.run AND hits.pos = walk.pos WHERE walk.pos < length(walk.run)
+), done AS (SELECT run, lens FROM walk WHERE pos = length(run))
+"""
+_JOIN_WORDS = "array_to_string(list_transform(range(1, len(lens) + 1), lambda k: substr(run, CAST(coalesce(list_sum(lens[1:k-1]), 0) + 1 AS BIGINT), lens[k])), '/')"
+_COUNTS = f"WITH {_FEATURES} "
+_RULES_SQL = "(VALUES ('U00', 5), ('U01', 5), ('U03', 20), ('U04', 20)) r(prefix, threshold)"
+_PREDICTED = """
+, flat AS (SELECT key, unnest(tags) AS gold, unnest(range(len(tags))) AS i FROM tagged)
+, pairs AS (SELECT key, gold, CASE WHEN i % 5 = 0 THEN 'S' ELSE gold END AS pred FROM flat)
+"""
+
+ORACLE_SQL = {
+    "word_count": f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), {_WS})) AS word FROM documents) WHERE word <> '' GROUP BY word",
+    "char_explode": "SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ch",
+    "template_expand": f"WITH {_FEATURES} SELECT key, split_part(feature, ':', 1) AS template, count(*) AS n, count(*) FILTER (WHERE contains(feature, '_B-') OR contains(feature, '_B+')) AS n_boundary, min(feature) AS first, max(feature) AS last FROM expanded GROUP BY ALL",
+    "context_window": f"WITH {_CHARS} SELECT p || '|' || c || '|' || n AS context, count(*) AS n FROM windows GROUP BY ALL",
+    "feature_count": _COUNTS + "SELECT feature, cnt FROM counts",
+    "feature_histogram": _COUNTS + "SELECT split_part(feature, ':', 1) || '-' || lpad(CAST(cnt AS VARCHAR), 10, '0') AS bucket, count(*) AS n FROM counts GROUP BY ALL",
+    "feature_buckets": _COUNTS + "SELECT CASE WHEN cnt < 80 THEN CAST(cnt AS VARCHAR) WHEN cnt < 1000 THEN '80-1000' WHEN cnt < 10000 THEN '1000-10000' WHEN cnt < 100000 THEN '10000-100000' ELSE '100000-' END AS bucket, count(*) AS n FROM counts GROUP BY ALL",
+    "feature_filter": _COUNTS + f"SELECT feature, cnt FROM counts LEFT JOIN {_RULES_SQL} ON r.prefix = split_part(feature, ':', 1) WHERE threshold IS NULL OR cnt > threshold",
+    "feature_filter_stat": _COUNTS + f"SELECT split_part(feature, ':', 1) AS prefix, count(*) FILTER (WHERE threshold IS NULL OR cnt > threshold) AS kept, count(*) FILTER (WHERE cnt <= threshold) AS dropped FROM counts LEFT JOIN {_RULES_SQL} ON r.prefix = split_part(feature, ':', 1) GROUP BY ALL",
+    "feature_dict": _COUNTS + "SELECT feature, attr_id FROM dict",
+    "reverse_lookup": _COUNTS + "SELECT attr_id, feature FROM dict WHERE attr_id % 7 = 3",
+    "feature_shrink": _COUNTS + "SELECT dict.attr_id AS old_id, CAST(row_number() OVER (ORDER BY dict.attr_id) - 1 AS INTEGER) AS attr_id, feature, cnt FROM dict JOIN counts USING (feature) WHERE cnt > 10",
+    "tags_encode": f"WITH {_SENTENCES} {_TAGS} SELECT key, array_to_string(tags, ' ') AS tags FROM tagged",
+    "tags_decode": f"WITH {_SENTENCES} SELECT key, array_to_string(words, ' ') AS words FROM sentences",
+    "tag_histogram": f"WITH {_SENTENCES} {_TAGS} SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM tagged) GROUP BY tag",
+    "instance_encode": f"WITH {_FEATURES} {_TAGS} , coded AS (SELECT e.key, (e.i - 1) * 6 + e.t AS k, coalesce(attr_id, -1) AS id FROM expanded e LEFT JOIN dict USING (feature)) "
+    f", ls AS (SELECT key, unnest(tags) AS tag, unnest(range(len(tags))) AS k FROM tagged) "
+    f"SELECT c.key, CAST(count(*) / 6 AS INTEGER) AS n, CAST(count(*) AS INTEGER) AS n_ids, CAST(count(*) FILTER (WHERE id < 0) AS INTEGER) AS n_missing, CAST(sum(CAST(id AS BIGINT) * (k % 97 + 1)) AS BIGINT) AS id_sum, any_value(s.label_sum) AS label_sum "
+    f"FROM coded c JOIN (SELECT key, CAST(sum(({_LABELS.format('tag')}) * (k % 97 + 1)) AS BIGINT) AS label_sum FROM ls GROUP BY key) s ON s.key = c.key GROUP BY c.key",
+    "instance_json": f"WITH {_RUNS} SELECT count(*) AS instances, CAST(sum(length(run)) AS BIGINT) AS items, CAST(sum(6 * length(run)) AS BIGINT) AS ids FROM drun",
+    "crfpp_parse": f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS sent_no, CAST(len(ws) AS INTEGER) AS n, array_to_string(ws, ' ') AS words, array_to_string(list_transform(ws, lambda w: CAST(length(w) AS VARCHAR)), ' ') AS labels FROM (SELECT doc_id, i, list_filter(regexp_split_to_array(line, {_WS}), lambda w: w <> '') AS ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)) WHERE len(ws) > 0",
+    "fmm": f"WITH RECURSIVE {_RUNS} {_WALK.format(runs='drun')} SELECT run, {_JOIN_WORDS} AS words FROM done",
+    "bmm": f"WITH RECURSIVE {_RUNS.replace(', words AS (SELECT run AS word', ', words AS (SELECT reverse(run) AS word')} , turned AS (SELECT reverse(run) AS run FROM drun) {_WALK.format(runs='turned')} SELECT reverse(run) AS run, reverse({_JOIN_WORDS}) AS words FROM done",
+    "number_merge": f"SELECT run, run AS words FROM (SELECT DISTINCT unnest(regexp_extract_all(translate(text, '0123456789', '零一二三四五六七八九'), '[{X.NUMBER_CHARS}]+')) AS run FROM documents)",
+    "state_scores": f"WITH {_RUN_STATES} SELECT run AS key, CAST(l AS INTEGER) AS label, sum(s) AS score FROM states GROUP BY ALL",
+    "path_score": f"WITH {_RUN_STATES} {_GOLD} {_SMALL} , st AS (SELECT g.run, sum(coalesce(s, 0)) AS s FROM gold g LEFT JOIN states USING (run, pos) WHERE l = y OR l IS NULL GROUP BY g.run) "
+    ", mv AS (SELECT a.run, sum(w) AS s FROM gold a JOIN gold b ON b.run = a.run AND b.pos = a.pos + 1 JOIN small ON kind = 'tw' AND idx = a.y * 6 + b.y GROUP BY a.run) "
+    ", en AS (SELECT run, sum(w) AS s FROM gold JOIN small ON (kind = 'bw' AND pos = 0 AND idx = y) OR (kind = 'ew' AND pos = n - 1 AND idx = y) GROUP BY run) "
+    "SELECT en.run AS key, en.s + coalesce(st.s, 0) + coalesce(mv.s, 0) AS score FROM en LEFT JOIN st USING (run) LEFT JOIN mv USING (run)",
+    "loglik_zero": f"WITH {_RUNS} SELECT round(-ln(6) * sum(length(run)), 3) AS loglik FROM drun",
+    "eval_confusion": f"WITH {_SENTENCES} {_TAGS} {_PREDICTED} , c AS (SELECT tag, count(*) FILTER (WHERE gold = tag AND pred = tag) AS tp, count(*) FILTER (WHERE gold <> tag AND pred = tag) AS fp, count(*) FILTER (WHERE gold <> tag AND pred <> tag) AS tn, count(*) FILTER (WHERE gold = tag AND pred <> tag) AS fn FROM pairs, (SELECT unnest(['S', 'B', 'E', 'B1', 'B2', 'M']) AS tag) GROUP BY tag) SELECT *, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 9) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 9) AS recall FROM c",
+    "eval_accuracy": f"WITH {_SENTENCES} {_TAGS} {_PREDICTED} , s AS (SELECT key, count(*) AS n, count(*) FILTER (WHERE gold = pred) AS r FROM pairs GROUP BY key) SELECT CAST(sum(n) AS BIGINT) AS items, CAST(sum(r) AS BIGINT) AS items_right, count(*) AS sentences, count(*) FILTER (WHERE n = r) AS sentences_right, round(sum(r) / sum(n), 9) AS item_accuracy, round(count(*) FILTER (WHERE n = r) / count(*), 9) AS sentence_accuracy FROM s",
+    "weight_average": _COUNTS + ", g AS (SELECT attr_id * 6 + l AS idx, g FROM dict, (SELECT unnest(range(6)) AS l), (SELECT unnest(range(4)) AS g)) SELECT 'fw' AS kind, CAST(idx AS INTEGER) AS idx, sum(CAST((idx * 3 + g * 5) % 16 - 8 AS DOUBLE)) / 4.0 AS w, count(*) AS contributors FROM g WHERE (idx + g) % 4 <> 1 GROUP BY idx",
+    "feature_scores": _COUNTS + _MODEL + "SELECT attr_id, sum(w * w) AS score FROM w GROUP BY attr_id",
+    "topn_features": _COUNTS + _MODEL + ", s AS (SELECT attr_id, sum(w * w) AS score FROM w GROUP BY attr_id) SELECT CAST(row_number() OVER (ORDER BY score DESC, attr_id) - 1 AS INTEGER) AS new_id, attr_id AS old_id, feature, score FROM s JOIN dict USING (attr_id) ORDER BY score DESC, attr_id LIMIT 100",
+    "truncate_model": _COUNTS + _MODEL + _SMALL + ", s AS (SELECT attr_id, sum(w * w) AS score FROM w GROUP BY attr_id), t AS (SELECT attr_id, row_number() OVER (ORDER BY score DESC, attr_id) - 1 AS new_id FROM s ORDER BY score DESC, attr_id LIMIT 100) SELECT 'fw' AS kind, CAST(new_id * 6 + l AS INTEGER) AS idx, w FROM t JOIN w USING (attr_id) UNION ALL SELECT kind, idx, w FROM small",
+    "weight_kinds": _COUNTS + _MODEL + _SMALL + ", a AS (SELECT 'fw' AS kind, w FROM w UNION ALL SELECT kind, w FROM small) SELECT kind, count(*) AS n, max(w) AS w_max, min(w) AS w_min FROM a GROUP BY kind",
+    "explain_features": f"WITH {_RUN_STATES} , x AS (SELECT run, pos, l, feature, w, row_number() OVER (PARTITION BY run, pos, l ORDER BY abs(w) DESC, feature, w) AS k FROM rfeat JOIN dict USING (feature) JOIN w USING (attr_id)) SELECT run AS key, CAST(pos AS INTEGER) AS pos, CAST(l AS INTEGER) AS label, sum(w) AS score, max(feature) FILTER (WHERE k = 1) AS strongest, CAST(count(*) AS INTEGER) AS n_features FROM x GROUP BY ALL",
+    "sample_k": "SELECT doc_id FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 50",
+    "dir_union": f"SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(text), {_WS})) AS word FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations UNION ALL SELECT text FROM benchmark)) WHERE word <> ''",
+}
