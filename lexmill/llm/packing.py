@@ -29,6 +29,8 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,11 +46,10 @@ CAPACITY = 2048
 SCHEMES = ((32, 1 / 8), (64, 1 / 4), (128, 1 / 4))
 #: configurations filled less than this by actual lengths are given back to best fit
 FILLS = (0.0, 0.9, 0.95, 0.98, 0.995)
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 1_000_000
 MEMO_BYTES = 64
 BUCKET_ROWS = 500_000
 
-
 # --- the plan, from a histogram of lengths ---------------------------------------------------
 
 def _knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int, most: np.ndarray) -> tuple[float, np.ndarray]:
@@ -80,7 +81,6 @@ def _knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int, most: np.ndar
                 c -= k * int(sizes[i])
     return value_best, count
 
-
 def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
     """Whole configurations of the fractional optimum: (count of each size, times)."""
     k = len(sizes)
@@ -98,7 +98,6 @@ def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: i
     x = np.linalg.solve(basis, need.astype(float))
     return [(basis[:, j].astype(np.int64), int(np.floor(x[j] + 1e-9))) for j in range(k) if x[j] >= 1 - 1e-9]
 
-
 def plan(counts: np.ndarray, capacity: int = CAPACITY, schemes: tuple[tuple[int, float], ...] = SCHEMES, fills: tuple[float, ...] = FILLS) -> list[tuple[int, tuple[int, ...]]]:
     """Runs of equal sequences: (number of sequences, lengths in each).  ``counts[l]`` is how many have length l.
 
@@ -120,7 +119,6 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, schemes: tuple[tuple[int,
                 best = done
     return best
 
-
 def _grouped(counts: np.ndarray, capacity: int, groups: int, large_share: float) -> list[tuple[int, tuple[int, ...]]]:
     """Whole configurations of the rounded large lengths, with actual lengths in their places."""
     counts = counts.copy()
@@ -171,7 +169,6 @@ def _grouped(counts: np.ndarray, capacity: int, groups: int, large_share: float)
                 times -= run
     return runs
 
-
 def _best_fit(runs: list[tuple[int, tuple[int, ...]]], counts: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
     """Place what is left, longest first, each into the fullest open sequence that holds it."""
     free: list[list[tuple[int, tuple[int, ...]]]] = [[] for _ in range(capacity + 1)]
@@ -202,7 +199,6 @@ def _best_fit(runs: list[tuple[int, tuple[int, ...]]], counts: np.ndarray, capac
             left -= times
     return [run for f in free for run in f]
 
-
 def slots(runs: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
     """Rows (length, first rank, first sequence, offset), sorted by length and rank."""
     out, used, first = [], {}, 0
@@ -215,29 +211,48 @@ def slots(runs: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
         first += times
     return np.array(sorted(out), dtype=np.int64).reshape(-1, 4)
 
-
 # --- pieces and places ------------------------------------------------------------------------
 
+#: a Python worker keeps its tokenizer and memo from task to task
+_worker: dict = {}
+
+
 def _pieces(shared, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = load_tokenizer(shared.value)
-        memo: dict[bytes, bytes] = {}
+        if _worker.get("spec") != shared.value:
+            _worker.update(spec=shared.value, tok=load_tokenizer(shared.value), memo={})
+        tok, memo = _worker["tok"], _worker["memo"]
+        late: dict[bytes, bytes] = {}
         end = np.array([end_id], "<u4").tobytes()
 
-        def encoded(parts: list[bytes]) -> dict[bytes, bytes]:
-            found = tok.encode_batch([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)
-            return {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(parts, found, strict=True)}
+        def encoded(parts: list[bytes]) -> None:
+            found = tok.encode_batch_fast([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)
+            for p, e in zip(parts, found, strict=True):
+                late[p] = array("I", e.ids).tobytes()
+
+        def learn(parts: list[bytes]) -> None:
+            """Ids of the runs, in ``late``: a letter before a last ``.`` or ``,`` ends a word, so the two are apart."""
+            cut = [p for p in parts if p[-1] in b".," and p[-2:-1].isalpha()]
+            whole = {p[:-1] for p in cut} | {bytes(p[-1:]) for p in cut} | set(parts).difference(cut)
+            encoded([p for p in whole if p not in memo])
+            for p in cut:
+                head, tail = p[:-1], bytes(p[-1:])
+                late[p] = (memo.get(head) or late[head]) + (memo.get(tail) or late[tail])
+            if len(memo) + len(late) <= MEMO_ENTRIES:
+                memo.update((p, x) for p, x in late.items() if len(p) <= MEMO_BYTES)
 
         def ids(text: bytes) -> bytes:
+            # lower case is the tokenizer's own; done first it makes runs alike. Not where an added token or a combining mark may be near
+            if b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
+                text = text.lower()
             parts = text.split()
             try:
                 return b"".join(map(memo.__getitem__, parts))
             except KeyError:
                 pass
-            new = encoded([p for p in set(parts) if p not in memo])
-            if len(memo) + len(new) <= MEMO_ENTRIES:
-                memo.update((p, x) for p, x in new.items() if len(p) <= MEMO_BYTES)
-            return b"".join([memo[p] if p in memo else new[p] for p in parts])
+            late.clear()
+            learn([p for p in set(parts) if p not in memo])
+            return b"".join([memo[p] if p in memo else late[p] for p in parts])
 
         for batch in batches:
             rows: list[tuple] = []
@@ -252,7 +267,6 @@ def _pieces(shared, capacity: int, end_id: int):
 
     return run
 
-
 def _places(shared):
     """Look each piece's place up by its length and its rank within that length."""
 
@@ -267,7 +281,6 @@ def _places(shared):
 
     return run
 
-
 def pack_documents(
     spark: SparkSession,
     docs: DataFrame,
