@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexmill.functions import text as X
+
 #: fixed values: tags in the order of their ids
 TAGS = ("S", "B", "E", "B1", "B2", "M")
 
@@ -44,6 +46,10 @@ def tags_to_words(tags: Column, sentence: Column, legacy: bool = False) -> Colum
     that word is closed before it, and nothing is lost.  ``legacy`` drops the
     character before, as the original does (possibly leaving an empty word).
     """
+    return X.bind(tags, lambda t: X.bind(sentence, lambda s: _tags_to_words(t, s, legacy)))
+
+
+def _tags_to_words(tags: Column, sentence: Column, legacy: bool) -> Column:
     start = F.struct(F.lit(-1).alias("open"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, i: Column) -> Column:

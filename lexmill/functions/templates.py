@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexmill.functions import text as X
+
 #: fixed values: the shipped templates
 DEFAULT = (
     "U00:%x[-1,0]",
@@ -77,12 +79,16 @@ def _value(items: Column, i: Column, row: int, col: int, width: int) -> Column:
 
 def expand(items: Column, templates=DEFAULT_TEMPLATES, width: int = 1) -> Column:
     """All features, item by item, template by template.  ``items`` is flat, ``width`` values an item."""
-    n = (F.size(items) / width).cast("int") if width > 1 else F.size(items)
 
-    def at(i: Column) -> Column:
-        return F.array(*[F.concat(*[F.lit(p) if isinstance(p, str) else _value(items, i, p[0], p[1], width) for p in t.parts]) for t in templates])
+    def whole(held: Column) -> Column:
+        n = (F.size(held) / width).cast("int") if width > 1 else F.size(held)
+
+        def at(i: Column) -> Column:
+            return F.array(*[F.concat(*[F.lit(p) if isinstance(p, str) else _value(held, i, p[0], p[1], width) for p in t.parts]) for t in templates])
+
+        return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), at))).otherwise(F.array().cast("array<string>"))
 
-    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), at))).otherwise(F.array().cast("array<string>"))
+    return X.bind(items, whole)
 
 
 def is_boundary(feature: Column) -> Column:

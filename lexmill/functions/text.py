@@ -68,3 +68,8 @@ def repair_stat(count: Column) -> Column:
 def is_number_char(ch: Column) -> Column:
     """P26."""
     return F.lit(NUMBER_CHARS).contains(ch)
+
+
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once a row, however often the body's lambdas read it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

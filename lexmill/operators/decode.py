@@ -47,6 +47,7 @@ def path_scores(instances: DataFrame, attr_weights: DataFrame, model_weights: Da
     bw, ew, tw = (F.array(*[F.lit(x) for x in small[k]]) for k in ("bw", "ew", "tw"))
     joined = sentence_states(instances, attr_weights).join(instances.select("key", "label_ids"), "key")
     y = F.col("label_ids")
+    joined = joined.select("key", "n", "states", "label_ids")
     state = F.aggregate(F.zip_with("states", y, lambda s, k: F.get(s, k)), F.lit(0.0), lambda a, x: a + x)
     moves = F.when(F.col("n") > 1, F.aggregate(F.zip_with(F.slice(y, F.lit(1), F.col("n") - 1), F.slice(y, F.lit(2), F.col("n") - 1), lambda a, b: F.get(tw, a * 6 + b)), F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
     return joined.select("key", (F.get(bw, F.get(y, F.lit(0))) + state + moves + F.get(ew, F.element_at(y, -1))).alias("score"))

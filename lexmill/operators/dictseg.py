@@ -30,7 +30,12 @@ def _walk(run: Column, found: Column) -> Column:
         n = F.coalesce(F.try_element_at(found, i), F.lit(1))
         return F.when(i < acc["next"], acc).otherwise(F.struct((i + n).alias("next"), F.concat(acc["out"], F.array(n)).alias("out")))
 
-    return F.when(F.length(run) > 0, F.aggregate(F.sequence(F.lit(0), F.length(run) - 1), start, step, lambda a: a["out"])).otherwise(F.array().cast("array<int>"))
+    def walked(held: Column) -> Column:
+        nonlocal found
+        found = held
+        return F.when(F.length(run) > 0, F.aggregate(F.sequence(F.lit(0), F.length(run) - 1), start, step, lambda a: a["out"])).otherwise(F.array().cast("array<int>"))
+
+    return X.bind(found, walked)
 
 
 def cut(run: Column, lengths: Column) -> Column:
@@ -75,9 +80,12 @@ def both(runs: DataFrame, dictionary: DataFrame, run: str = "run") -> DataFrame:
 
 def regions(fwd: Column, bwd: Column) -> Column:
     """Between common boundaries where the words differ: ``start, end, i0, j0, i1, j1`` (word indexes)."""
-    e1, e2 = ends(fwd), ends(bwd)
+    return X.bind(ends(fwd), lambda e1: X.bind(ends(bwd), lambda e2: _regions(e1, e2)))
+
+
+def _regions(e1: Column, e2: Column) -> Column:
     shared = F.concat(F.array(F.lit(0)), F.array_intersect(e1, e2))
-    spans = F.zip_with(F.slice(shared, F.lit(1), F.size(shared) - 1), F.slice(shared, F.lit(2), F.size(shared) - 1), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+    spans = X.bind(shared, lambda s: F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s) - 1), lambda a, b: F.struct(a.alias("start"), b.alias("end"))))
 
     def upto(e: Column, x: Column) -> Column:
         return F.size(F.filter(e, lambda v: v <= x))
