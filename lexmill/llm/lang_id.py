@@ -152,11 +152,19 @@ class Scorer:
 
 
 def sample_windows(docs: DataFrame, lang: Column, size: int, rows: int, windows: int, seed: int) -> tuple[np.ndarray, list[str]]:
-    """At most ``rows`` labelled documents, chosen by hash, with ``windows`` windows of each."""
+    """At most ``rows`` labelled documents, chosen by hash, with ``windows`` windows of each.
+
+    A share that leaves about one and a half times as many is drawn first, so
+    what tasks send to the driver does not grow with the table.
+    """
+    labelled = docs.where(lang.isNotNull()).count()
+    share = min(1.0, 1.5 * rows / max(labelled, 1))
+    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))
     length = F.octet_length("text")
     at = [F.expr(f"substring(encode(text, 'UTF-8'), 1 + CAST(pmod(xxhash64(text, {seed + k}), greatest(1, octet_length(text) - {size - 1})) AS INT), {size})") for k in range(windows)]
     picked = (
-        docs.select(F.col("text"), lang.alias("lang"))
+        docs.where(draw)
+        .select(F.col("text"), lang.alias("lang"))
         .where(F.col("lang").isNotNull() & (length > 0) & F.col("text").rlike(r"\p{L}"))
         .select("lang", F.array(*at).alias("w"), F.xxhash64("text", F.lit(seed)).alias("o"))
         .orderBy("o", "lang")
@@ -171,9 +179,9 @@ def sample_windows(docs: DataFrame, lang: Column, size: int, rows: int, windows:
     return np.array(x, dtype=np.uint8).reshape(-1, size), y
 
 
-def fit(docs: DataFrame, lang: str = "lang", text: str = "text", window: int = WINDOW, rows: int = SAMPLE_ROWS, windows: int = SAMPLE_WINDOWS, seed: int = 7) -> Network:
+def fit(docs: DataFrame, lang: str = "lang", text: str = "text", id_col: str = "doc_id", window: int = WINDOW, rows: int = SAMPLE_ROWS, windows: int = SAMPLE_WINDOWS, seed: int = 7) -> Network:
     """Train on a sample of at most ``rows`` labelled documents (the bound is this parameter)."""
-    x, y = sample_windows(docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")), F.col("lang"), window, rows, windows, seed)
+    x, y = sample_windows(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")), F.col("lang"), window, rows, windows, seed)
     langs = sorted(set(y))
     if not langs:
         return Network([UNDETERMINED], [np.zeros((w, 256, 1), np.float32) for w in WIDTHS], [np.zeros(1, np.float32)] * len(WIDTHS), np.zeros((len(WIDTHS), 1), np.float32), np.zeros(1, np.float32))

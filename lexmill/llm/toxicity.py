@@ -155,16 +155,26 @@ def score_block(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(labelled: DataFrame, label: str = "label", text: str = "text", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, seed: int = 11) -> dict:
-    """Train on at most ``rows`` labelled texts of at most ``most_bytes``, half of each label where there are enough."""
-    given = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("y")).where(F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes) & F.col("y").isin(0, 1))
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "label", text: str = "text", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, seed: int = 11) -> dict:
+    """Train on at most ``rows`` labelled texts of at most ``most_bytes``, half of each label where there are enough.
+
+    Labels are sampled by the hash of their id first; the sample, of bounded
+    size, goes to the documents, which are not shuffled.
+    """
+    given = labels.select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isin(0, 1))
     picked = []
     for y in (0, 1):
-        picked += given.where(F.col("y") == y).withColumn("o", F.xxhash64("text", F.lit(seed))).orderBy("o", "text").limit(rows // 2).select("text", "y").collect()
-    if len({r["y"] for r in picked}) < 2:
-        only = float(picked[0]["y"]) if picked else 0.0
+        picked += given.where(F.col("y") == y).withColumn("o", F.xxhash64("i", F.lit(seed))).orderBy("o", "i").limit(rows).select("i", "o", "y").collect()
+    chosen = F.broadcast(labels.sparkSession.createDataFrame([tuple(r) for r in picked], "i long, o long, y int"))
+    found = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where(F.octet_length("text") <= most_bytes).join(chosen, F.col("id") == F.col("i"))
+    texts = {y: [] for y in (0, 1)}
+    for r in sorted(found.select("o", "y", "text").collect(), key=lambda r: (r["o"], r["text"])):
+        if len(texts[r["y"]]) < rows // 2:
+            texts[r["y"]].append(r["text"].encode())
+    if not texts[0] or not texts[1]:
+        only = 1.0 if texts[1] else 0.0
         return {"weight": np.zeros(1 << TABLE_BITS), "bias": 4.0 * (2 * only - 1), "window": WINDOW_WORDS}
-    return train([r["text"].encode() for r in picked], np.array([r["y"] for r in picked]), seed)
+    return train(texts[0] + texts[1], np.array([0] * len(texts[0]) + [1] * len(texts[1])), seed)
 
 
 def _scorer(shared):

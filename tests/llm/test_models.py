@@ -58,12 +58,12 @@ def test_toxic_words_and_their_misspellings():
 def test_scores_over_a_frame(spark):
     rows = [(k, ("awful " if k % 2 else "nice ") + f"day number {k}", k % 2, "x") for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, label int, score string")
-    model = toxicity.fit(df)
+    model = toxicity.fit(df.drop("label"), df.select("doc_id", "label"))
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "..."), (None, "awful"), (5, "z" * 100_000), (5, "nice day")], "doc_id long, text string")
     out = toxicity.scores(spark, odd, model).collect()
     assert len(out) == 6 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in out)
     assert toxicity.scores(spark, odd.limit(0), model).count() == 0
-    assert toxicity.fit(df.limit(0))["bias"] < 0
+    assert toxicity.fit(df, df.limit(0))["bias"] < 0
 
 
 def test_subwords_by_hand():
