@@ -73,3 +73,26 @@ def is_number_char(ch: Column) -> Column:
 def bind(value: Column, body) -> Column:
     """``body(value)`` with ``value`` worked out once a row, however often the body's lambdas read it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def starts(lengths: Column, block: int = 256) -> Column:
+    """Where each piece begins, from the pieces' lengths.
+
+    Sums run within blocks and over block totals, so the cost stays near linear
+    in long texts (one accumulating array would copy itself at every step).
+    """
+
+    def running(values: Column) -> Column:
+        zero = F.array(F.lit(0))
+        return F.aggregate(values, zero, lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+    def whole(held: Column) -> Column:
+        cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.size(held) - 1, F.lit(0)), F.lit(block)), lambda b: F.slice(held, b + 1, F.lit(block)))
+
+        def placed(blocks: Column) -> Column:
+            totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
+            return bind(running(totals), lambda before: F.flatten(F.transform(blocks, lambda b, k: F.slice(F.transform(running(b), lambda x: x + F.get(before, k)), F.lit(1), F.size(b)))))
+
+        return bind(cuts, placed)
+
+    return bind(lengths, whole)

@@ -40,8 +40,7 @@ def _walk(run: Column, found: Column) -> Column:
 
 def cut(run: Column, lengths: Column) -> Column:
     """Words of given lengths."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(lengths, start, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(F.substring(run, a["at"] + 1, n))).alias("out")), lambda a: a["out"])
+    return X.bind(lengths, lambda n: X.bind(X.starts(n), lambda at: F.transform(n, lambda k, i: F.substring(run, F.get(at, i) + 1, k))))
 
 
 def number_runs(runs: DataFrame, run: str = "run") -> DataFrame:
@@ -69,7 +68,7 @@ def backward(runs: DataFrame, dictionary: DataFrame, numbers: bool = False, run:
 
 def ends(lengths: Column) -> Column:
     """Running end offsets."""
-    return F.aggregate(lengths, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(F.coalesce(F.element_at(F.concat(F.array(F.lit(0)), a), -1), F.lit(0)) + n)))
+    return X.bind(lengths, lambda n: F.zip_with(X.starts(n), n, lambda a, k: a + k))
 
 
 def both(runs: DataFrame, dictionary: DataFrame, run: str = "run") -> DataFrame:

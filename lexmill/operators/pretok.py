@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexmill.functions import text as X
+
 MAX_TOKEN = 255
 _L, _N = r"[\p{L}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}\p{IsLao}\p{IsMyanmar}\p{IsKhmer}]]\p{M}*", r"\p{Nd}"
 #: word-break rules: a letter run may go on over : . ' and a digit run over . ' , ; where the same kind follows
@@ -55,14 +57,16 @@ def tokens(text: Column, mode: str = "uax29", max_token: int = MAX_TOKEN) -> Col
     """``text, begin, end, type`` of every piece of a text; what is no token, or too long for one (F10), has a null type."""
     pieces = F.regexp_extract_all(text, F.lit(PATTERN if mode == "uax29" else CLASSIC_PATTERN), F.lit(0))
     kind = _type if mode == "uax29" else _classic_type
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,begin:int,end:int,type:string>>").alias("out"))
+    return X.bind(pieces, lambda held: _placed(held, lambda p: F.when(F.length(p) <= max_token, kind(p)), lambda p: p))
+
+
+def _placed(pieces: Column, kind, text) -> Column:
+    """``text, begin, end, type`` of pieces in order."""
 
-    def step(a: Column, p: Column) -> Column:
-        end = a["at"] + F.length(p)
-        typed = F.when(F.length(p) <= max_token, kind(p))
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(p.alias("text"), a["at"].alias("begin"), end.alias("end"), typed.alias("type")))).alias("out"))
+    def whole(at: Column) -> Column:
+        return F.transform(pieces, lambda p, i: F.struct(text(p).alias("text"), F.get(at, i).alias("begin"), (F.get(at, i) + F.length(text(p))).alias("end"), kind(p).alias("type")))
 
-    return F.aggregate(pieces, start, step, lambda a: a["out"])
+    return X.bind(X.starts(F.transform(pieces, lambda p: F.length(text(p)))), whole)
 
 
 def groups(text: Column, legacy_trailing_drop: bool = False) -> Column:
@@ -81,15 +85,12 @@ def groups(text: Column, legacy_trailing_drop: bool = False) -> Column:
         return F.when(t == "IDEOGRAPHIC", "CWORD").when(t == "WORD", "ALPHA").when(t == "NUM", "NUMBER").when(t.isNotNull(), "UNKNOWN").otherwise("PUNCT")
 
     # a piece too long for a token falls into its characters
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,begin:int,end:int,type:string>>").alias("out"))
     split = F.flatten(F.transform(pieces, lambda p: F.when((F.length(p) > MAX_TOKEN) & ~p.rlike(r"^\p{IsHan}"), F.transform(F.filter(F.split(p, ""), lambda c: c != ""), lambda c: F.struct(c.alias("p"), F.lit("PUNCT").alias("t")))).otherwise(F.array(F.struct(p.alias("p"), named(p).alias("t"))))))
-
-    def step(a: Column, s: Column) -> Column:
-        end = a["at"] + F.length(s["p"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(s["p"].alias("text"), a["at"].alias("begin"), end.alias("end"), s["t"].alias("type")))).alias("out"))
-
-    out = F.aggregate(split, start, step, lambda a: a["out"])
+    out = X.bind(split, lambda held: _placed(held, lambda s: s["t"], lambda s: s["p"]))
     if legacy_trailing_drop:
-        last = F.coalesce(F.array_max(F.transform(F.filter(out, lambda t: t["type"] != "PUNCT"), lambda t: t["end"])), F.lit(0))
-        out = F.filter(out, lambda t: t["begin"] < last)
+        def cut(held: Column) -> Column:
+            last = F.coalesce(F.array_max(F.transform(F.filter(held, lambda t: t["type"] != "PUNCT"), lambda t: t["end"])), F.lit(0))
+            return X.bind(last, lambda z: F.filter(held, lambda t: t["begin"] < z))
+
+        out = X.bind(out, cut)
     return out
