@@ -48,10 +48,13 @@ SCHEMES = ((32, 1 / 8), (64, 1 / 4), (128, 1 / 4))
 FILLS = (0.0, 0.9, 0.95, 0.98, 0.995)
 MEMO_ENTRIES = 1_000_000
 MEMO_BYTES = 64
+BLOCK_BYTES = 1 << 21
 BUCKET_ROWS = 500_000
 
+
 # --- the plan, from a histogram of lengths ---------------------------------------------------
 
+
 def _knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int, most: np.ndarray) -> tuple[float, np.ndarray]:
     """Best bounded choice of sizes by value; ``most`` bounds each size's count."""
     best = np.zeros(capacity + 1)
@@ -81,6 +84,7 @@ def _knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int, most: np.ndar
                 c -= k * int(sizes[i])
     return value_best, count
 
+
 def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
     """Whole configurations of the fractional optimum: (count of each size, times)."""
     k = len(sizes)
@@ -98,6 +102,7 @@ def configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: i
     x = np.linalg.solve(basis, need.astype(float))
     return [(basis[:, j].astype(np.int64), int(np.floor(x[j] + 1e-9))) for j in range(k) if x[j] >= 1 - 1e-9]
 
+
 def plan(counts: np.ndarray, capacity: int = CAPACITY, schemes: tuple[tuple[int, float], ...] = SCHEMES, fills: tuple[float, ...] = FILLS) -> list[tuple[int, tuple[int, ...]]]:
     """Runs of equal sequences: (number of sequences, lengths in each).  ``counts[l]`` is how many have length l.
 
@@ -119,6 +124,7 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, schemes: tuple[tuple[int,
                 best = done
     return best
 
+
 def _grouped(counts: np.ndarray, capacity: int, groups: int, large_share: float) -> list[tuple[int, tuple[int, ...]]]:
     """Whole configurations of the rounded large lengths, with actual lengths in their places."""
     counts = counts.copy()
@@ -169,6 +175,7 @@ def _grouped(counts: np.ndarray, capacity: int, groups: int, large_share: float)
                 times -= run
     return runs
 
+
 def _best_fit(runs: list[tuple[int, tuple[int, ...]]], counts: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
     """Place what is left, longest first, each into the fullest open sequence that holds it."""
     free: list[list[tuple[int, tuple[int, ...]]]] = [[] for _ in range(capacity + 1)]
@@ -199,6 +206,7 @@ def _best_fit(runs: list[tuple[int, tuple[int, ...]]], counts: np.ndarray, capac
             left -= times
     return [run for f in free for run in f]
 
+
 def slots(runs: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
     """Rows (length, first rank, first sequence, offset), sorted by length and rank."""
     out, used, first = [], {}, 0
@@ -211,8 +219,10 @@ def slots(runs: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
         first += times
     return np.array(sorted(out), dtype=np.int64).reshape(-1, 4)
 
+
 # --- pieces and places ------------------------------------------------------------------------
 
+
 #: a Python worker keeps its tokenizer and memo from task to task
 _worker: dict = {}
 
@@ -222,51 +232,56 @@ def _pieces(shared, capacity: int, end_id: int):
         if _worker.get("spec") != shared.value:
             _worker.update(spec=shared.value, tok=load_tokenizer(shared.value), memo={})
         tok, memo = _worker["tok"], _worker["memo"]
-        late: dict[bytes, bytes] = {}
         end = np.array([end_id], "<u4").tobytes()
 
-        def encoded(parts: list[bytes]) -> None:
-            found = tok.encode_batch_fast([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)
-            for p, e in zip(parts, found, strict=True):
-                late[p] = array("I", e.ids).tobytes()
-
-        def learn(parts: list[bytes]) -> None:
-            """Ids of the runs, in ``late``: a letter before a last ``.`` or ``,`` ends a word, so the two are apart."""
-            cut = [p for p in parts if p[-1] in b".," and p[-2:-1].isalpha()]
-            whole = {p[:-1] for p in cut} | {bytes(p[-1:]) for p in cut} | set(parts).difference(cut)
-            encoded([p for p in whole if p not in memo])
-            for p in cut:
-                head, tail = p[:-1], bytes(p[-1:])
-                late[p] = (memo.get(head) or late[head]) + (memo.get(tail) or late[tail])
-            if len(memo) + len(late) <= MEMO_ENTRIES:
-                memo.update((p, x) for p, x in late.items() if len(p) <= MEMO_BYTES)
-
-        def ids(text: bytes) -> bytes:
+        def runs_of(text: bytes | None) -> list[bytes]:
             # lower case is the tokenizer's own; done first it makes runs alike. Not where an added token or a combining mark may be near
+            if not text:
+                return []
             if b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
                 text = text.lower()
-            parts = text.split()
-            try:
-                return b"".join(map(memo.__getitem__, parts))
-            except KeyError:
-                pass
-            late.clear()
-            learn([p for p in set(parts) if p not in memo])
-            return b"".join([memo[p] if p in memo else late[p] for p in parts])
+            return text.split()
+
+        def learn(parts: set[bytes]) -> list[bytes]:
+            """Put the ids of new runs in the memo; a letter before a last ``.`` or ``,`` ends a word, so the two are apart."""
+            cut = [p for p in parts if p[-1] in b".," and p[-2:-1].isalpha()]
+            new = list(({p[:-1] for p in cut} | {p[-1:] for p in cut} | parts.difference(cut)) - memo.keys())
+            found = tok.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
+            for p, e in zip(new, found, strict=True):
+                memo[p] = array("I", e.ids).tobytes()
+            for p in cut:
+                memo[p] = memo[p[:-1]] + memo[p[-1:]]
+            return new + cut
 
         for batch in batches:
+            docs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
-                own = ids(text or b"") + end
-                n = len(own) // 4
-                for k, start in enumerate(range(0, n, capacity)):
-                    part = own[4 * start : 4 * (start + capacity)]
-                    rows.append((doc, k, start, len(part) // 4, zlib.crc32(part)))
+            at = 0
+            while at < len(docs):
+                # a block of whole texts; what it needs beyond the memo's room is forgotten after it
+                split, size = [], 0
+                while at + len(split) < len(docs) and (not split or size < BLOCK_BYTES):
+                    text = texts[at + len(split)]
+                    size += len(text or b"")
+                    split.append(runs_of(text))
+                added = learn(set().union(*split) - memo.keys())
+                for doc, parts in zip(docs[at:], split, strict=False):
+                    own = b"".join(map(memo.__getitem__, parts)) + end
+                    n = len(own) // 4
+                    for k, start in enumerate(range(0, n, capacity)):
+                        part = own[4 * start : 4 * (start + capacity)]
+                        rows.append((doc, k, start, len(part) // 4, zlib.crc32(part)))
+                full = len(memo) > MEMO_ENTRIES
+                for p in added:
+                    if full or len(p) > MEMO_BYTES:
+                        memo.pop(p, None)
+                at += len(split)
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
+
 def _places(shared):
     """Look each piece's place up by its length and its rank within that length."""
 
@@ -281,6 +296,7 @@ def _places(shared):
 
     return run
 
+
 def pack_documents(
     spark: SparkSession,
     docs: DataFrame,
