@@ -337,7 +337,7 @@ def crf_train_eval(spark, d):
     pairs = s.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.slice("words", i, F.lit(3)))).alias("words")).where(F.size("words") == 3).groupBy(F.array_join("words", " ").alias("key")).agg(F.first("words").alias("words"))
     learn = train.sample(pairs, "key", 1200)
     enc = instances.encode_words(learn, "key", "words", found)
-    w = train.train(enc, TrainingParams(sigma=5.0, t0=50.0), groups=4, rounds=1, epochs=2)
+    w = train.train(enc, TrainingParams(sigma=5.0, t0=40000.0), groups=4, rounds=1, epochs=2)
     known = pairs.select("key", "words")
     all_enc = instances.encode_words(known, "key", "words", found)
     got = decode.viterbi(all_enc, model.attr_weights(w), w.where("kind <> 'fw'")).join(all_enc.select("key", F.col("label_ids").alias("gold")), "key")
