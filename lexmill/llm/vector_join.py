@@ -146,7 +146,7 @@ def _compare(shared, threshold: float):
             node, copies = np.array([h[1] for h in held]), np.array([h[2] for h in held])
             x = _unit(np.array([h[3] for h in held], dtype=np.float64))
             y = x @ axes
-            which = int(name[0]) >> (12 * blocks[0]["grid"]) if len({b["grid"] for b in blocks}) == 1 else name[3]
+            which = name[3]
             left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
             gains, links = {}, []
             for a in range(0, len(left), 1024):
