@@ -31,8 +31,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut multi-line chunks that an earlier document has; n_chars follows the text."""
-    out = line_dedup.dedup_lines(spark, docs)
+    """Cut multi-line chunks and passages that an earlier document has; n_chars follows the text."""
+    out = line_dedup.dedup_lines(spark, docs, passage_words=line_dedup.PASSAGE_WORDS)
     if "n_chars" in docs.columns:
         changed = F.col("__lines_removed") > 0
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

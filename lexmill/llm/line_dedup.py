@@ -1,4 +1,4 @@
-"""Removal of multi-line chunks that repeat anywhere in the corpus, in DataFrame operations only.
+"""Removal of multi-line chunks and passages that repeat anywhere in the corpus, in DataFrame operations only.
 
 Lines are hashed; a rolling hash over each line and the one before it chooses
 chunk boundaries at its local minima, so an insertion moves only the boundaries
@@ -7,11 +7,21 @@ more lines (not all blank) are counted by hash over the whole corpus; those met
 more than once are then compared byte by byte, and all but the first occurrence
 (smallest doc_id, then text hash, then line) are removed.
 
+Chunks miss passages between foreign lines, so with ``passage_words`` every run
+of whole lines with so many words or more that an earlier place has goes as well,
+up to its true ends and down to a single line.  The shortest runs of so many words from
+each line on and back from each line, blank lines left out, depend on nothing
+outside themselves and together cover every such passage; runs are compared by
+SHA-256 of the SHA-256 of their lines.  In one document, a run that overlaps its
+first occurrence stays.  The query and the pipeline ask for passages of
+``PASSAGE_WORDS``; without, chunks alone go.  ``__chunks_removed`` counts chunks,
+and passages that reach beyond them.
+
 Repeats inside one document count.  Hot chunks are safe: counts and firsts are
 partially aggregated, and the joins on chunks may be split by adaptive execution.
 
 Defined edge cases: null text stays null, empty text stays empty; a single-line
-text is never changed; a null doc_id comes before all others; rows with equal
+text is changed only as a passage; a null doc_id comes before all others; rows with equal
 doc_id and equal text are treated alike (the pair counts as a repeat but keeps
 its own first occurrence); all columns of the input are kept as they are, and
 names used inside start with two underscores; an empty table gives an empty one.
@@ -19,12 +29,14 @@ names used inside start with two underscores; an empty table gives an empty one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.scratch import Scratch
 
 MIN_LINES = 2
+#: words of a repeated passage that goes whatever its lines, "over 50"
+PASSAGE_WORDS = 51
 _MOD = 2147483647
 _BASE = 1000003
 
@@ -53,8 +65,36 @@ def _chunk_rows(docs: DataFrame) -> DataFrame:
     return rows.where(F.length(F.translate("chunk", " \t\r\n", "")) > 0).withColumn("h", F.xxhash64("chunk"))
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input with repeated chunks cut out of ``text_col``; adds ``__lines_removed`` and ``__chunks_removed``."""
+def _passage_rows(docs: DataFrame, words: int) -> DataFrame:
+    """id, text hash, first and last line, side and digest of the shortest runs of ``words`` words from each line on and back from it."""
+    lines = docs.select("id", "th", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("w", F.expr(r"regexp_count(line, '[^ \\t\\r]+')").cast("long")).where("w > 0")
+    lines = lines.select("id", "th", "i", "w", F.sha2("line", 256).alias("d"))
+    # rows alike in id and text are one; a single exchange serves this and the windows
+    lines = lines.repartition("id", "th").groupBy("id", "th", "i").agg(F.first("w").alias("w"), F.first("d").alias("d"))
+    own = Window.partitionBy("id", "th")
+    lines = lines.withColumn("e", F.sum("w").over(own.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))).withColumn("s", F.col("e") - F.col("w"))
+    ahead, back = own.orderBy("s").rangeBetween(0, words - 1), own.orderBy("e").rangeBetween(1 - words, 0)
+    key = lambda w: F.unhex(F.sha2(F.concat_ws("", F.collect_list("d").over(w)), 256))
+    on = F.when(F.max("e").over(ahead) - F.col("s") >= words, F.struct(F.lit(0).alias("side"), F.col("i").alias("a"), F.max("i").over(ahead).alias("z"), key(ahead).alias("key")))
+    to = F.when(F.col("e") - F.min("s").over(back) >= words, F.struct(F.lit(1).alias("side"), F.min("i").over(back).alias("a"), F.col("i").alias("z"), key(back).alias("key")))
+    return lines.select("id", "th", on.alias("on"), to.alias("to")).select("id", "th", F.explode(F.array("on", "to")).alias("r")).where("r IS NOT NULL").select("id", "th", "r.*")
+
+
+def _passages_gone(scratch: Scratch, docs: DataFrame, words: int) -> DataFrame:
+    """id, text hash and the merged runs of lines, first and number, that an earlier place has."""
+    made = scratch.table(_passage_rows(docs, words))
+    firsts = made.groupBy("side", "key").agg(F.min(F.struct("id", "th", "a", "z")).alias("first"), F.count("*").alias("c")).where("c > 1").select(F.col("side").alias("fside"), F.col("key").alias("fkey"), "first")
+    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
+    later = made.join(firsts.hint("shuffle_hash"), (F.col("side") == F.col("fside")) & (F.col("key") == F.col("fkey"))).where(~same | (F.col("a") > F.col("first.z")))
+    own = Window.partitionBy("id", "th").orderBy("a", "z")
+    runs = later.select("id", "th", "a", "z").withColumn("reach", F.max("z").over(own.rowsBetween(Window.unboundedPreceding, -1)))
+    runs = runs.withColumn("k", F.sum(F.when(F.col("a") <= F.col("reach") + 1, 0).otherwise(1)).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("id", "th", "k").agg(F.min("a").alias("s"), F.max("z").alias("z"))
+    return runs.groupBy("id", "th").agg(F.collect_list(F.struct("s", (F.col("z") - F.col("s") + 1).alias("n"))).alias("passages"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_words: int | None = None) -> DataFrame:
+    """The input with repeated chunks, and passages of ``passage_words`` words if given, cut out of ``text_col``; adds ``__lines_removed`` and ``__chunks_removed``."""
     scratch = Scratch(spark, "line-dedup")
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("th", F.xxhash64("text"))
     chunks = _chunk_rows(base)
@@ -62,17 +102,23 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     met = scratch.table(chunks.join(repeated.hint("shuffle_hash"), "h"))
     firsts = met.groupBy("h", "chunk").agg(F.min(F.struct("id", "th", "s")).alias("first"), F.count("*").alias("c")).where("c > 1").select(F.col("h").alias("fh"), F.col("chunk").alias("fchunk"), "first")
     later = met.join(firsts, (F.col("h") == F.col("fh")) & (F.col("chunk") == F.col("fchunk"))).where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("s") == F.col("first.s"))))
-    gone = later.groupBy(F.col("id").alias("__rid"), F.col("th").alias("__rth")).agg(F.collect_set(F.struct("s", "n")).alias("__gone"))
+    gone = later.groupBy("id", "th").agg(F.collect_set(F.struct("s", "n")).alias("chunks"), F.lit(None).cast("array<struct<s:int,n:int>>").alias("passages"))
+    if passage_words:
+        gone = gone.unionByName(_passages_gone(scratch, base, passage_words).select("id", "th", F.lit(None).alias("chunks"), "passages"))
+    gone = gone.groupBy(F.col("id").alias("__rid"), F.col("th").alias("__rth")).agg(F.first("chunks", True).alias("chunks"), F.first("passages", True).alias("passages"))
+    spread = lambda c: f"array_distinct(flatten(transform(coalesce({c}, array()), g -> sequence(g.s, g.s + g.n - 1))))"
+    gone = gone.withColumn("__cut", F.expr(spread("chunks"))).withColumn("__more", F.expr("size(filter(coalesce(passages, array()), g -> size(array_except(sequence(g.s, g.s + g.n - 1), __cut)) > 0))"))
+    gone = gone.select("__rid", "__rth", F.expr(f"array_union(__cut, {spread('passages')})").alias("__gone"), (F.expr("size(coalesce(chunks, array()))") + F.col("__more")).alias("__n"))
     gone = scratch.table(gone)
     given = docs.withColumn("__text", F.col(f"`{text_col}`")).withColumn("__th", F.xxhash64("__text"))
     out = given.join(gone.hint("shuffle_hash"), F.col(f"`{id_col}`").eqNullSafe(F.col("__rid")) & (F.col("__th") == F.col("__rth")), "left")
     kept = F.expr("""
         transform(array(split(__text, '\n', -1)), lines ->
-          array_join(transform(array_except(sequence(0, size(lines) - 1), flatten(transform(__gone, g -> sequence(g.s, g.s + g.n - 1)))), i -> lines[i]), '\n')
+          array_join(transform(array_except(sequence(0, size(lines) - 1), __gone), i -> lines[i]), '\n')
         )[0]""")
     out = out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(kept))
-    out = out.withColumn("__lines_removed", F.expr("coalesce(aggregate(__gone, 0, (a, g) -> a + g.n), 0)")).withColumn("__chunks_removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")))
-    return out.drop("__text", "__th", "__rid", "__rth", "__gone")
+    out = out.withColumn("__lines_removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone"))).withColumn("__chunks_removed", F.coalesce("__n", F.lit(0)))
+    return out.drop("__text", "__th", "__rid", "__rth", "__gone", "__n")
 
 
 ORACLE_SQL = f"""

@@ -47,9 +47,9 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lexmill.llm.line_dedup import dedup_lines
+    from lexmill.llm.line_dedup import PASSAGE_WORDS, dedup_lines
 
-    out = dedup_lines(spark, _read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(spark, _read(spark, sf_dir, "documents").select("doc_id", "text"), passage_words=PASSAGE_WORDS)
     return out.select("doc_id", "text", F.col("__lines_removed").cast("long").alias("lines_removed"), F.col("__chunks_removed").cast("long").alias("chunks_removed"))
 
 

@@ -63,6 +63,26 @@ def test_line_dedup_by_brute_force(spark):
     assert line_dedup.dedup_lines(spark, df.limit(0)).count() == 0
 
 
+def test_line_dedup_cuts_passages_to_their_true_ends(spark):
+    def passage(name, *sizes):
+        return [" ".join(f"{name}{k}w{j}" for j in range(n)) for k, n in enumerate(sizes)]
+
+    planted = [passage("a", 60), passage("b", 3, 40, 9), passage("c", *[3] * 18), passage("d", 55, 4), passage("e", 2, 70, 5, 1), passage("f", 30, 10, 30)]
+    short = passage("g", 25, 25)
+    rows, want = [], []
+    for k, p in enumerate([*planted, short]):
+        for copy in range(3):
+            before, after = [f"foreign {k} {copy} {j}" for j in range(copy + 1)], [f"own {k} {copy} {j}" for j in range(2)]
+            rows.append((k * 3 + copy, "\n".join(before + p + after)))
+            want.append((k * 3 + copy, "\n".join(before + (p if copy == 0 or p is short else []) + after), len(p) if copy and p is not short else 0))
+    rows += [(90, "\n".join(passage("h", 60))), (91, "\n".join(passage("h", 60))), (92, "\n".join(["x"] * 200))]
+    out = line_dedup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), passage_words=line_dedup.PASSAGE_WORDS).collect()
+    got = {r["doc_id"]: (r["text"], r["__lines_removed"]) for r in out}
+    assert {i: got[i] for i, _, _ in want[: 3 * len(planted)]} == {i: (t, n) for i, t, n in want[: 3 * len(planted)]}
+    assert got[90][0] == rows[-3][1] and got[91] == ("", 1)
+    assert len(got[92][0].split("\n")) <= 51
+
+
 def test_licences_and_inheritance(spark):
     rows = [
         (1, "src/a/LICENSE", "Released under the MIT License."),
