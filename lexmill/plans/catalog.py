@@ -141,9 +141,9 @@ def feature_dict(spark, d):
 
 
 def reverse_lookup(spark, d):
+    """The feature of every id of the dictionary, looked up by id."""
     found = _dictionary(spark, d)
-    wanted = found.where("attr_id % 7 = 3").select("attr_id")
-    return wanted.join(found, "attr_id").select("attr_id", "feature")
+    return found.select("attr_id").join(found, "attr_id").select("attr_id", "feature")
 
 
 def feature_shrink(spark, d):

@@ -210,3 +210,19 @@ def test_entry_module_without_the_llm_folder(monkeypatch):
         m.setitem(sys.modules, "corpus_pipeline", None)
         assert not any(k.startswith("op") and k[2].isdigit() for k in importlib.reload(entry).queries())
     importlib.reload(entry)
+
+
+@pytest.fixture(scope="module")
+def corpus_dir(spark, tmp_path_factory):
+    """Three documents with words, digits, punctuation and repeats."""
+    d = str(tmp_path_factory.mktemp("corpus"))
+    spark.createDataFrame([(1, "The cat, the cat!\n\nok 42"), (2, "A bb ccc dddd eeeee"), (3, None)], "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    return d
+
+
+def test_reverse_lookup_finds_every_id(spark, corpus_dir):
+    from lexmill.plans import catalog
+
+    want = {(r.attr_id, r.feature) for r in catalog.feature_dict(spark, corpus_dir).collect()}
+    got = catalog.reverse_lookup(spark, corpus_dir).collect()
+    assert {(r.attr_id, r.feature) for r in got} == want and len(got) == len(want) > 50
