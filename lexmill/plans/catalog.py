@@ -19,6 +19,8 @@ from lexmill.sources.config import TrainingParams
 
 #: thresholds of the filter query
 RULES = "U00 5\nU01 5\nU03 20\nU04 20"
+#: items that one training group of crf_train_eval holds on average; a sentence is never cut
+TRAINING_GROUP_ITEMS = 50_000
 HAN = "的一是不了人我在有他这中大来上国个到说们为子和你地"
 
 
@@ -331,16 +333,13 @@ def sample_k(spark, d):
 
 
 def crf_train_eval(spark, d):
-    """Train on runs as words of their lines, by averaging; accuracy over all sentences."""
+    """Train on all sentences, in groups of about ``TRAINING_GROUP_ITEMS`` items, by averaging; accuracy over all sentences."""
     s = sentences(spark, d)
     found = features.shrink(_dictionary(spark, d), _features(spark, d).join(_dictionary(spark, d), "feature").select("attr_id"), 20).select("feature", "attr_id")
-    pairs = s.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.slice("words", i, F.lit(3)))).alias("words")).where(F.size("words") == 3).groupBy(F.array_join("words", " ").alias("key")).agg(F.first("words").alias("words"))
-    learn = train.sample(pairs, "key", 1200)
-    enc = instances.encode_words(learn, "key", "words", found)
-    w = train.train(enc, TrainingParams(sigma=5.0, t0=40000.0), groups=4, rounds=1, epochs=2)
-    known = pairs.select("key", "words")
-    all_enc = instances.encode_words(known, "key", "words", found)
-    got = decode.viterbi(all_enc, model.attr_weights(w), w.where("kind <> 'fw'")).join(all_enc.select("key", F.col("label_ids").alias("gold")), "key")
+    enc = instances.encode_words(s, "key", "words", found)
+    items = s.agg(F.sum(F.length(F.array_join("words", "")))).first()[0] or 0
+    w = train.train(enc, TrainingParams(sigma=5.0, t0=40000.0), groups=max(1, -(-items // TRAINING_GROUP_ITEMS)), rounds=1, epochs=2)
+    got = decode.viterbi(enc, model.attr_weights(w), w.where("kind <> 'fw'")).join(enc.select("key", F.col("label_ids").alias("gold")), "key")
     return model.accuracy(got.select(tg.tag_text(F.col("gold")).alias("gold"), tg.tag_text(F.col("label_ids")).alias("pred")))
 
 

@@ -226,3 +226,11 @@ def test_reverse_lookup_finds_every_id(spark, corpus_dir):
     want = {(r.attr_id, r.feature) for r in catalog.feature_dict(spark, corpus_dir).collect()}
     got = catalog.reverse_lookup(spark, corpus_dir).collect()
     assert {(r.attr_id, r.feature) for r in got} == want and len(got) == len(want) > 50
+
+
+def test_crf_train_eval_covers_every_sentence(spark, corpus_dir):
+    from lexmill.plans import catalog
+
+    r = catalog.crf_train_eval(spark, corpus_dir).first()
+    lines = ["thecat,thecat!", "ok42", "abbcccddddeeeee"]
+    assert (r["sentences"], r["items"]) == (len(lines), sum(map(len, lines)))
