@@ -58,7 +58,8 @@ def _over_states(small: dict, work, names: list[str], types: list[pa.DataType]):
         base = crf.Weights(np.array(small["bw"]), np.array(small["ew"]), np.array(small["tw"]).reshape(6, 6), np.zeros((0, 6)))
         for batch in batches:
             out = []
-            for states in batch.column(1).to_pylist():
+            # one sentence at a time: a batch of long ones is large as Python numbers
+            for states in (x.as_py() for x in batch.column(1)):
                 # each item's own scores stand in as one feature each
                 base.aw = np.array(states, dtype=np.float64)
                 out.append(work(base, np.arange(len(states))[:, None]))

@@ -89,11 +89,10 @@ def synthetic_model_weights(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, idx int, w double")
 
 
-def _run_instances(spark, d):
-    """Distinct runs as one-word sentences, encoded with the dictionary of all lines."""
-    words = runs(spark, d).distinct().select(F.col("run").alias("key"), F.array("run").alias("words"))
+def _sentence_instances(spark, d):
+    """All sentences, encoded with the dictionary of all lines."""
     dictionary = _dictionary(spark, d)
-    return instances.encode_words(words, "key", "words", dictionary), dictionary
+    return instances.encode_words(sentences(spark, d), "key", "words", dictionary), dictionary
 
 
 # --- queries -----------------------------------------------------------------------------------
@@ -177,7 +176,7 @@ def instance_encode(spark, d):
 
 
 def instance_json(spark, d):
-    enc, _ = _run_instances(spark, d)
+    enc, _ = _sentence_instances(spark, d)
     lines = corpus.instance_json(enc)
     back = corpus.parse_instance_json(lines)
     return back.agg(F.count("*").alias("instances"), F.sum("n").alias("items"), F.sum(F.size("attr_ids")).alias("ids"))
@@ -232,30 +231,32 @@ def run_grouping(spark, d):
 
 
 def state_scores(spark, d):
-    enc, dictionary = _run_instances(spark, d)
+    enc, dictionary = _sentence_instances(spark, d)
     rows = decode.attribute_rows(enc, synthetic_attr_weights(dictionary))
     return rows.select("key", F.posexplode("s").alias("label", "s")).groupBy("key", "label").agg(F.sum("s").alias("score"))
 
 
 def path_score(spark, d):
-    enc, dictionary = _run_instances(spark, d)
+    enc, dictionary = _sentence_instances(spark, d)
     return decode.path_scores(enc, synthetic_attr_weights(dictionary), synthetic_model_weights(spark))
 
 
 def viterbi(spark, d):
-    enc, dictionary = _run_instances(spark, d)
-    return decode.viterbi(enc, synthetic_attr_weights(dictionary), synthetic_model_weights(spark)).select("key", "score")
+    """The best tags of every sentence and their score."""
+    enc, dictionary = _sentence_instances(spark, d)
+    got = decode.viterbi(enc, synthetic_attr_weights(dictionary), synthetic_model_weights(spark))
+    return got.select("key", "score", F.array_join(tg.tag_text(F.col("label_ids")), " ").alias("tags"))
 
 
 def nbest(spark, d):
-    enc, dictionary = _run_instances(spark, d)
+    enc, dictionary = _sentence_instances(spark, d)
     got = decode.n_best(enc, synthetic_attr_weights(dictionary), synthetic_model_weights(spark), 3)
     return got.select("key", "rank", "score", F.array_join(tg.tag_text(F.col("label_ids")), " ").alias("tags"))
 
 
 def segment_crf(spark, d):
     found = _dictionary(spark, d)
-    given = runs(spark, d).distinct().select(F.col("run").alias("key"), F.col("run").alias("sentence"))
+    given = sentences(spark, d).select("key", F.array_join("words", "").alias("sentence"))
     got = hybrid.segment_crf(given, "key", "sentence", found, synthetic_attr_weights(found), synthetic_model_weights(spark))
     return got.select("key", F.array_join("words", "/").alias("words"))
 
@@ -267,7 +268,7 @@ def segment_hybrid(spark, d):
 
 
 def loglik_zero(spark, d):
-    enc, dictionary = _run_instances(spark, d)
+    enc, dictionary = _sentence_instances(spark, d)
     zero = dictionary.select("attr_id", F.array(*[F.lit(0.0)] * 6).alias("w"))
     none = synthetic_model_weights(spark).withColumn("w", F.lit(0.0))
     return decode.log_probs(enc, zero, none).agg(F.round(F.sum("logp"), 3).alias("loglik"))
@@ -322,8 +323,8 @@ def weight_kinds(spark, d):
 
 
 def explain_features(spark, d):
-    """The strongest feature of every item and label, by run."""
-    enc, found = _run_instances(spark, d)
+    """The strongest feature of every item and label, by sentence."""
+    enc, found = _sentence_instances(spark, d)
     got = model.explain(enc, found, synthetic_attr_weights(found))
     return got.select("key", "pos", "label", "score", F.get("features", F.lit(0))["feature"].alias("strongest"), F.size("features").alias("n_features"))
 

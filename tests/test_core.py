@@ -234,3 +234,40 @@ def test_crf_train_eval_covers_every_sentence(spark, corpus_dir):
     r = catalog.crf_train_eval(spark, corpus_dir).first()
     lines = ["thecat,thecat!", "ok42", "abbcccddddeeeee"]
     assert (r["sentences"], r["items"]) == (len(lines), sum(map(len, lines)))
+
+
+def test_sentence_queries_cover_whole_lines(spark, corpus_dir):
+    from lexmill.plans import catalog
+
+    lines = {"1-0": ["the", "cat,", "the", "cat!"], "1-2": ["ok", "42"], "2-0": ["a", "bb", "ccc", "dddd", "eeeee"]}
+    joined = {k: "".join(v) for k, v in lines.items()}
+    items = sum(map(len, joined.values()))
+    dictionary = {r.feature: r.attr_id for r in catalog.feature_dict(spark, corpus_dir).collect()}
+    aw = np.zeros((len(dictionary), 6))
+    for a in dictionary.values():
+        aw[a] = [(a * 31 + k * 17) % 23 - 11 for k in range(6)]
+    small = {k: np.array([float((i * 7 + z) % 13 - 6) for i in range(n)]) for k, n, z in (("bw", 6, 1), ("ew", 6, 5), ("tw", 36, 3))}
+    w = crf.Weights(small["bw"], small["ew"], small["tw"].reshape(6, 6), aw)
+    want, states, gold, strongest = {}, {}, {}, {}
+    for key, t in joined.items():
+        padded = ["_B-1", *t, "_B+1"]
+        made = [[f"U00:{p}", f"U01:{c}", f"U02:{n}", f"U03:{p}/{c}", f"U04:{c}/{n}", f"U05:{p}/{n}"] for p, c, n in zip(padded, padded[1:], padded[2:])]
+        attrs = np.array([[dictionary.get(f, -1) for f in fs] for fs in made])
+        y = crf.viterbi(w, attrs)
+        want[key] = (crf.path_score(w, attrs, y), [tg.TAGS[k] for k in y], crf.n_best(w, attrs, 3))
+        labels = [tg.TAGS.index(x) for v in lines[key] for x in (["S"] if len(v) == 1 else ["B", "B1", "B2", "M", "M", "M"][: len(v) - 1] + ["E"])]
+        gold[key] = crf.path_score(w, attrs, np.array(labels))
+        for i, s in enumerate(crf.state_scores(w, attrs)):
+            for label in range(6):
+                states[key, label] = states.get((key, label), 0) + s[label]
+                strongest[key, i, label] = s[label]
+    got = {r.key: (r.score, r.tags.split(" ")) for r in catalog.viterbi(spark, corpus_dir).collect()}
+    assert got == {k: v[:2] for k, v in want.items()}
+    best = {(r.key, r["rank"]): r.score for r in catalog.nbest(spark, corpus_dir).collect()}
+    assert best == {(k, i): s for k, v in want.items() for i, (s, _) in enumerate(v[2])}
+    assert {r.key: r.words.replace("/", "") for r in catalog.segment_crf(spark, corpus_dir).collect()} == joined
+    assert {r.key: r.score for r in catalog.path_score(spark, corpus_dir).collect()} == gold
+    assert {(r.key, r.label): r.score for r in catalog.state_scores(spark, corpus_dir).collect()} == states
+    assert {(r.key, r.pos, r.label): r.score for r in catalog.explain_features(spark, corpus_dir).collect()} == strongest
+    assert catalog.instance_json(spark, corpus_dir).first().asDict() == {"instances": 3, "items": items, "ids": 6 * items}
+    assert catalog.loglik_zero(spark, corpus_dir).first()["loglik"] == round(-items * math.log(6), 3)
