@@ -1,14 +1,17 @@
 """Licence scan by sparse TF-IDF cosine, with inheritance along directories; DataFrame operations only.
 
-Every line of every file, and the file as a whole, is a segment.  Terms are runs
+Every line of every file, and the file as a whole, is a segment; so are windows
+over the words of the file, across its lines, from each template term on, as long
+as each template with that term and half as long again.  Statements inside long
+lines and wrapped headers are met by windows.  Terms are runs
 of letters and digits, lower-cased, without a short list of function words.
 Inverse document frequencies of the templates' terms come from all segments that
 are lines; terms outside the templates take the largest value.  A segment's
 licence is the template of highest cosine, at least ``LEAST_COSINE``; a file's
 own licence is that of its best segment.
 
-A file whose name says so, or of which licence segments make up at least half of
-the terms, is a licence file of its directory.  A file without a licence of its
+A file whose name says so, or of which licence lines, or the template terms of one licence window, make up
+at least half of the terms, is a licence file of its directory.  A file without a licence of its
 own takes that of the nearest ancestor directory with a licence file, by a join
 of the paths of its ancestors.
 
@@ -27,7 +30,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.scratch import Scratch
@@ -35,6 +38,7 @@ from lexmill.llm.scratch import Scratch
 LEAST_COSINE = 0.6
 FILE_SHARE = 0.5
 FUNCTION_WORDS = "a an and any are as at be by for from in is it its no not of on or that the their them there this to was which with you your".split()
+_GNU_HEADER = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
@@ -54,6 +58,10 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights. CC0 1.0 Universal public domain dedication."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved."),
+    ("GPL-3.0", _GNU_HEADER.format("General", 3)),
+    ("GPL-2.0", _GNU_HEADER.format("General", 2)),
+    ("LGPL-3.0", _GNU_HEADER.format("Lesser General", 3)),
+    ("AGPL-3.0", _GNU_HEADER.format("Affero General", 3)),
 ]
 _NAMED = r"(?i)(^|/)(licen[cs]e|copying|unlicen[cs]e)([-._][^/]*)?$"
 
@@ -67,6 +75,30 @@ def template_terms(templates: list[tuple[str, str]]) -> list[tuple[int, str, int
     return out
 
 
+def _windows(spark: SparkSession, given: DataFrame, terms_of: str, counted: list[tuple[int, str, int]], idf: dict[str, float], rest: float, norms: dict[int, float], least: float) -> DataFrame:
+    """``row, b, wide``: cosine and template of each file's best window, and the most template terms in one licence window."""
+    long_as: dict[int, int] = {}
+    of: dict[int, dict[str, float]] = {}
+    for k, t, c in counted:
+        long_as[k] = long_as.get(k, 0) + c
+        of.setdefault(k, {})[t] = c * idf[t] / math.sqrt(norms[k])
+    shapes = [(t, k, n, of[k]) for k, t, _ in counted for n in sorted({long_as[k], long_as[k] * 3 // 2})]
+    shapes = spark.createDataFrame(shapes, "term string, template int, n int, ws map<string,double>")
+    known = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
+    spots = given.select("row", F.expr(terms_of).alias("terms")).select("row", F.size("terms").alias("all"), F.posexplode("terms").alias("pos", "term")).join(F.broadcast(known), "term")
+    # rows alike are one; a single exchange serves this and the windows
+    spots = spots.repartition("row").groupBy("row", "pos").agg(F.first("all").alias("all"), F.first("term").alias("term"), F.first("idf").alias("idf"))
+    ahead = Window.partitionBy("row").orderBy("pos").rangeBetween(0, max(long_as.values(), default=1) * 3 // 2 - 1)
+    near = spots.withColumn("near", F.collect_list(F.struct("pos", "term", "idf")).over(ahead)).where(F.size("near") > 1)
+    # no window scores above the root of the squared weights of the template terms in it
+    met = near.join(F.broadcast(shapes), "term").withColumn("near", F.expr("filter(near, x -> x.pos < pos + n)"))
+    met = met.where(F.expr("aggregate(array_distinct(near.term), 0D, (a, t) -> a + power(coalesce(ws[t], 0D), 2))") >= least * least * 0.999)
+    met = met.withColumn("n", F.least("n", F.col("all") - F.col("pos"))).withColumn("tfs", F.expr("transform(array_distinct(transform(near, x -> struct(x.term, x.idf))), d -> struct(d.term, d.idf * size(filter(near, x -> x.term = d.term)) AS v))"))
+    dot, sq = F.expr("aggregate(tfs, 0D, (a, d) -> a + d.v * coalesce(ws[d.term], 0D))"), F.expr("aggregate(tfs, 0D, (a, d) -> a + d.v * d.v)") + (F.col("n") - F.size("near")) * F.lit(rest * rest)
+    scored = met.select("row", F.size("near").alias("n"), "template", F.round(dot / F.sqrt(sq), 9).alias("cosine")).where(F.col("cosine") >= least)
+    return scored.groupBy("row").agg(F.max(F.struct("cosine", (-F.col("template")).alias("col2"))).alias("b"), F.max("n").alias("wide"))
+
+
 def scan(spark: SparkSession, files: DataFrame, id_col: str, path_col: str, text_col: str, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST_COSINE) -> DataFrame:
     """A row per file: ``id, path, own_licence, own_cosine, is_licence_file, licence, licence_from``."""
     scratch = Scratch(spark, "licences")
@@ -99,8 +131,11 @@ def scan(spark: SparkSession, files: DataFrame, id_col: str, path_col: str, text
     sized = valued.groupBy("row", "line_no", "n_terms").agg((F.sum(F.col("v") * F.col("v")) + (F.first("n_terms") - F.sum("tf")) * F.lit(rest * rest)).alias("sq"))
     dots = valued.join(F.broadcast(weights), "term").groupBy("row", "line_no", "template").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
     scored = dots.join(sized, ["row", "line_no"]).select("row", "line_no", "n_terms", "template", F.round(F.col("dot") / F.sqrt("sq"), 9).alias("cosine")).where(F.col("cosine") >= least)
-    best = scored.groupBy("row", "line_no", "n_terms").agg(F.max(F.struct("cosine", -F.col("template"))).alias("b"))
+    best = scored.groupBy("row", "line_no", "n_terms").agg(F.max(F.struct("cosine", (-F.col("template")).alias("col2"))).alias("b"))
     own = best.groupBy("row").agg(F.max("b").alias("b"), F.sum(F.when(F.col("line_no") >= 0, F.col("n_terms")).otherwise(0)).alias("covered"), F.max(F.when(F.col("line_no") < 0, 1).otherwise(0)).alias("all_of_it"))
+    windows = _windows(spark, given, terms_of.replace("lower(line)", "lower(text)"), counted, idf, rest, norms, least)
+    own = own.withColumn("wide", F.lit(0)).unionByName(windows.select("row", "b", F.lit(0).alias("covered"), F.lit(0).alias("all_of_it"), "wide"))
+    own = own.groupBy("row").agg(F.max("b").alias("b"), F.greatest(F.max("covered"), F.max("wide")).alias("covered"), F.max("all_of_it").alias("all_of_it"))
     names = F.array(*[F.lit(n) for n, _ in templates])
     own = own.join(rows, "row").select(F.col("row").alias("orow"), F.element_at(names, 1 - F.col("b.col2")).alias("own_licence"), F.col("b.cosine").alias("own_cosine"), ((F.col("all_of_it") == 1) | (F.col("covered") >= FILE_SHARE * F.col("n_terms"))).alias("mostly"))
 

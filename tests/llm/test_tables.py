@@ -109,6 +109,23 @@ def test_licences_and_inheritance(spark):
     assert licences.scan(spark, df.limit(0), "id", "path", "text").count() == 0
 
 
+def test_licences_inside_lines_and_across_them(spark):
+    prose = " ".join(f"word{k}" for k in range(400))
+    gnu = "/* This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License\n * as published by the Free Software Foundation; either\n * version {} of the License, or (at your option) any later version. */\n"
+    rows = [
+        (1, "a.py", "alpha beta gamma delta Released under the MIT License. epsilon zeta eta theta", "MIT"),
+        (2, "b.py", f"{prose} This work is licensed under the GNU Affero General Public License, version 3. {prose}", "AGPL-3.0"),
+        (3, "c.py", gnu.format(2) + prose, "GPL-2.0"),
+        (4, "d.py", gnu.format(3) + prose, "GPL-3.0"),
+        (5, "e.py", f"{prose}\nLicensed under\nthe Apache\nLicense, Version\n2.0.\n{prose}", "Apache-2.0"),
+        (6, "f.py", prose, None),
+        (7, "g.py", "the license of this poet was released by version two of all work", None),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "id long, path string, text string")
+    got = {r.id: (r.own_licence, r.is_licence_file) for r in licences.scan(spark, df, "id", "path", "text").collect()}
+    assert got == {r[0]: (r[3], False) for r in rows}
+
+
 @pytest.mark.parametrize("parts", [4000, 5])
 def test_vector_links_by_brute_force(spark, parts):
     rng = np.random.default_rng(3)
