@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexmill.llm.merging import Merger, prove
 from lexmill.llm.scratch import Scratch
 from lexmill.llm.token_counts import load_tokenizer
 
@@ -229,29 +230,35 @@ _worker: dict = {}
 
 def _pieces(shared, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _worker.get("spec") != shared.value:
-            _worker.update(spec=shared.value, tok=load_tokenizer(shared.value), memo={})
-        tok, memo = _worker["tok"], _worker["memo"]
+        spec, proof = shared.value
+        if _worker.get("spec") != spec:
+            _worker.update(spec=spec, tok=load_tokenizer(spec), merger=Merger(spec) if proof["plain"] else None, memo={})
+        tok, merger, memo = _worker["tok"], _worker["merger"], _worker["memo"]
+        special = [a.lower().encode() for a in proof["added"]]
         end = np.array([end_id], "<u4").tobytes()
 
         def runs_of(text: bytes | None) -> list[bytes]:
-            # lower case is the tokenizer's own; done first it makes runs alike. Not where an added token or a combining mark may be near
+            # lower case first makes runs alike; not where an added token may be near
             if not text:
                 return []
-            if b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
-                text = text.lower()
-            return text.split()
+            if proof["lower"]:
+                low = text.lower()
+                if not any(a in low for a in special):
+                    text = low
+            return text.split() if proof["space"] else [text]
 
         def learn(parts: set[bytes]) -> list[bytes]:
-            """Put the ids of new runs in the memo; a letter before a last ``.`` or ``,`` ends a word, so the two are apart."""
-            cut = [p for p in parts if p[-1] in b".," and p[-2:-1].isalpha()]
-            new = list(({p[:-1] for p in cut} | {p[-1:] for p in cut} | parts.difference(cut)) - memo.keys())
-            found = tok.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
-            for p, e in zip(new, found, strict=True):
+            """Put the ids of new runs in the memo: plain ones are merged together, the library has the rest."""
+            new, rest = list(parts), parts
+            if merger is not None and new:
+                plain, ids, n = merger.words(new)
+                raw, end, done = ids.tobytes(), (4 * np.cumsum(n)).tolist(), plain.tolist()
+                memo.update(zip((p for p, ok in zip(new, done, strict=True) if ok), (raw[a:b] for a, b in zip([0, *end], end, strict=False)), strict=True))
+                rest = [p for p, ok in zip(new, done, strict=True) if not ok]
+            found = tok.encode_batch_fast([p.decode("utf-8", "replace") for p in rest], add_special_tokens=False)
+            for p, e in zip(rest, found, strict=True):
                 memo[p] = array("I", e.ids).tobytes()
-            for p in cut:
-                memo[p] = memo[p[:-1]] + memo[p[-1:]]
-            return new + cut
+            return new
 
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()
@@ -310,11 +317,14 @@ def pack_documents(
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     A document's ids end with ``end_id``; a longer one than ``capacity`` is cut
-    into pieces of that length, the last one shorter.  Encoding works on runs
-    without ASCII white space, which the tokenizer drops and never joins across.
+    into pieces of that length, the last one shorter.  What encoding relies on
+    (white space parts words, ASCII case makes no difference, plain words merge as
+    ``merging`` does) is proven for the file first; where a proof fails, whole
+    texts or runs go to the library.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
-        shared = spark.sparkContext.broadcast(f.read())
+        spec = f.read()
+    shared = spark.sparkContext.broadcast((spec, prove(spec, load_tokenizer(spec))))
     scratch = Scratch(spark, "packing")
     pieces = scratch.table(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pieces(shared, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"))
     counts = np.zeros(capacity + 1, dtype=np.int64)

@@ -45,7 +45,7 @@ def load_tokenizer(spec: str):
     return tok
 
 
-def _byte_chars() -> dict[str, int]:
+def byte_chars() -> dict[str, int]:
     """The printable stand-ins of byte-level vocabularies, back to bytes."""
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(kept)]
@@ -67,7 +67,7 @@ def prove(spec: str) -> dict:
         probe = f"a{ch}1{ch}.{ch} {ch}b{ch}{ch}"
         if [m.span() for m in split.finditer(probe)] != [s for _, s in tok.pre_tokenizer.pre_tokenize_str(probe)]:
             odd.append(ch)
-    back = _byte_chars()
+    back = byte_chars()
     texts = []
     for entry in conf["model"]["vocab"]:
         try:

@@ -113,3 +113,41 @@ def test_three_to_a_sequence_needs_the_configurations():
 def test_configuration_program_beats_one_size_each():
     found = configurations(np.array([1024, 700, 640]), np.array([10, 20, 20]), 2048)
     assert found and all((c * np.array([1024, 700, 640])).sum() <= 2048 for c, _ in found)
+
+
+def test_merges_in_step_equal_the_library():
+    import random
+
+    import public_tokenizers
+
+    from lexmill.llm import merging
+    from lexmill.llm.token_counts import load_tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    tok, merger, rnd = load_tokenizer(spec), merging.Merger(spec), random.Random(5)
+    alphabet = "abcdefghilnorstuéèüñßÄÇ0179.,!-#*<'œЖ"
+    words = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 12))) for _ in range(4000)] + ["aaaaaaaa", "a" * 3000, "×÷", "à×à"]
+    plain, ids, n = merger.words([w.encode() for w in words])
+    want = [tok.encode(w, add_special_tokens=False).ids for w, ok in zip(words, plain, strict=True) if ok]
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+    assert 500 < plain.sum() < len(words)
+    assert merger.words([])[1].tolist() == []
+
+
+def test_packing_with_a_file_that_fails_the_proofs(spark):
+    import public_tokenizers
+
+    from lexmill.llm.packing import pack_documents
+    from lexmill.llm.token_counts import load_tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        tok = load_tokenizer(f.read())
+    rows = [(1, "Two  spaces, and CAPITALS\n\tkept"), (2, None), (3, " a <|endoftext|> b"), (None, "x " * 3000), (None, "x " * 3000)]
+    got = pack_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    length = {}
+    for r in got:
+        length[r.doc_id] = length.get(r.doc_id, 0) + r.length
+    ids = {k: len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for k, t in rows}
+    assert length == ids | {None: 2 * ids[None]}
