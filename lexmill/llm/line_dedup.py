@@ -17,14 +17,21 @@ first occurrence stays.  The query and the pipeline ask for passages of
 ``PASSAGE_WORDS``; without, chunks alone go.  ``__chunks_removed`` counts chunks,
 and passages that reach beyond them.
 
-Repeats inside one document count.  Hot chunks are safe: counts and firsts are
-partially aggregated, and the joins on chunks may be split by adaptive execution.
+Texts are split and hashed once, into a table of marks (place and hash of every
+chunk and line).  Only the chunks and lines whose hash repeats are fetched; a
+passage can lie only within neighbouring lines that all repeat.
+
+Repeats inside one document count.  Hot chunks and lines are safe: counts and
+firsts are partially aggregated, and the joins on them may be split by adaptive
+execution.
 
 Defined edge cases: null text stays null, empty text stays empty; a single-line
-text is changed only as a passage; a null doc_id comes before all others; rows with equal
+text is changed only as a passage; a very long text is one row and its lines are
+worked on as others are; a null doc_id comes before all others; rows with equal
 doc_id and equal text are treated alike (the pair counts as a repeat but keeps
-its own first occurrence); all columns of the input are kept as they are, and
-names used inside start with two underscores; an empty table gives an empty one.
+its own first occurrence); all columns of the input are kept as they are, whatever
+their names, but for ``__lines_removed`` and ``__chunks_removed``, which the result
+replaces; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -40,49 +47,71 @@ PASSAGE_WORDS = 51
 _MOD = 2147483647
 _BASE = 1000003
 
-#: first line and number of lines of every chunk of ``text``; each inner array is bound once
-_CHUNKS = f"""
+_WORD = r"[^ \\t\\r]"
+
+#: chunks (kind 0) and lines that are not blank (kind 1, with their rank among these) of ``text``; each inner array is bound once
+_MARKS = f"""
 transform(array(split(text, '\n', -1)), lines ->
-  transform(array(transform(lines, x -> CAST(conv(substr(md5(x), 1, 7), 16, 10) AS BIGINT))), h ->
-    transform(array(transform(h, (x, i) -> (IF(i = 0, 0L, h[i - 1]) * {_BASE}L + x) % {_MOD}L)), r ->
-      transform(array(filter(sequence(0, size(r) - 1), i -> i = size(r) - 1 OR (i > 0 AND r[i] < r[i - 1] AND r[i] <= r[i + 1]))), ends ->
-        filter(
-          transform(ends, (e, j) -> named_struct('s', IF(j = 0, 0, ends[j - 1] + 1), 'n', e - IF(j = 0, -1, ends[j - 1]))),
-          c -> c.n >= {MIN_LINES}
-        )
+  transform(array(transform(lines, x -> xxhash64(x))), lh ->
+    transform(array(transform(lines, x -> CAST(conv(substr(md5(x), 1, 7), 16, 10) AS BIGINT))), h ->
+      transform(array(transform(h, (x, i) -> (IF(i = 0, 0L, h[i - 1]) * {_BASE}L + x) % {_MOD}L)), r ->
+        transform(array(filter(sequence(0, size(r) - 1), i -> i = size(r) - 1 OR (i > 0 AND r[i] < r[i - 1] AND r[i] <= r[i + 1]))), ends ->
+          concat(
+            transform(
+              filter(
+                transform(ends, (e, j) -> named_struct('s', IF(j = 0, 0, ends[j - 1] + 1), 'n', e - IF(j = 0, -1, ends[j - 1]))),
+                c -> c.n >= {MIN_LINES} AND exists(slice(lines, c.s + 1, c.n), x -> x RLIKE '{_WORD}')
+              ),
+              c -> named_struct('kind', 0, 's', c.s, 'n', c.n, 'k', 0, 'h', xxhash64(slice(lh, c.s + 1, c.n)))
+            ),
+            {{lines}}
+          )
+        )[0]
       )[0]
     )[0]
   )[0]
 )[0]
 """
+_LINE_MARKS = f"transform(filter(sequence(0, size(lines) - 1), i -> lines[i] RLIKE '{_WORD}'), (i, k) -> named_struct('kind', 1, 's', i, 'n', 1, 'k', k, 'h', lh[i]))"
+_NO_LINES = "array()"
+
+
+def _bodies(scratch: Scratch, docs: DataFrame, passages: bool) -> DataFrame:
+    """id, text hash, kind, first line, number of lines, rank and text of every chunk and line whose hash is met more than once."""
+    made = F.expr(_MARKS.replace("{lines}", _LINE_MARKS if passages else _NO_LINES))
+    marks = scratch.table(docs.where("text IS NOT NULL").select("id", "th", F.explode(made).alias("m")).select("id", "th", "m.*"))
+    repeated = marks.groupBy("kind", "h").agg(F.count("*").alias("c")).where("c > 1").select("kind", "h")
+    met = marks.join(repeated.hint("shuffle_hash"), ["kind", "h"]).groupBy(F.col("id").alias("mid"), F.col("th").alias("mth")).agg(F.collect_set(F.struct("kind", "s", "n", "k")).alias("met"))
+    held = docs.join(met.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("mid")) & (F.col("th") == F.col("mth")))
+    cut = F.expr("""
+        transform(array(split(text, '\n', -1)), lines ->
+          transform(met, m -> named_struct('kind', m.kind, 's', m.s, 'n', m.n, 'k', m.k, 'body', array_join(slice(lines, m.s + 1, m.n), '\n')))
+        )[0]""")
+    out = scratch.table(held.select("id", "th", F.explode(cut).alias("m")).select("id", "th", "m.*"))
+    scratch.drop(marks)
+    return out
 
 
-def _chunk_rows(docs: DataFrame) -> DataFrame:
-    """id, text hash, first line, lines and text of every chunk of several lines."""
-    own = docs.where(F.col("text").contains("\n")).select("id", "th", F.expr("split(text, '\n', -1)").alias("lines"), F.expr(_CHUNKS).alias("chunks"))
-    cut = F.expr("transform(chunks, c -> named_struct('s', c.s, 'n', c.n, 'chunk', array_join(slice(lines, c.s + 1, c.n), '\n')))")
-    rows = own.select("id", "th", F.explode(cut).alias("c")).select("id", "th", "c.s", "c.n", "c.chunk")
-    return rows.where(F.length(F.translate("chunk", " \t\r\n", "")) > 0).withColumn("h", F.xxhash64("chunk"))
-
-
-def _passage_rows(docs: DataFrame, words: int) -> DataFrame:
-    """id, text hash, first and last line, side and digest of the shortest runs of ``words`` words from each line on and back from it."""
-    lines = docs.select("id", "th", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("w", F.expr(r"regexp_count(line, '[^ \\t\\r]+')").cast("long")).where("w > 0")
-    lines = lines.select("id", "th", "i", "w", F.sha2("line", 256).alias("d"))
+def _passage_rows(bodies: DataFrame, words: int) -> DataFrame:
+    """id, text hash, first and last line, side and digest of the shortest runs of ``words`` words from each line on and back from it, among neighbouring lines that repeat."""
+    lines = bodies.where("kind = 1").select("id", "th", F.col("s").alias("i"), "k", F.expr(r"regexp_count(body, '[^ \\t\\r]+')").cast("long").alias("w"), F.sha2("body", 256).alias("d"))
     # rows alike in id and text are one; a single exchange serves this and the windows
-    lines = lines.repartition("id", "th").groupBy("id", "th", "i").agg(F.first("w").alias("w"), F.first("d").alias("d"))
-    own = Window.partitionBy("id", "th")
-    lines = lines.withColumn("e", F.sum("w").over(own.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))).withColumn("s", F.col("e") - F.col("w"))
-    ahead, back = own.orderBy("s").rangeBetween(0, words - 1), own.orderBy("e").rangeBetween(1 - words, 0)
+    lines = lines.repartition("id", "th").distinct()
+    own = Window.partitionBy("id", "th").orderBy("k")
+    lines = lines.withColumn("part", F.col("k") - F.row_number().over(own))
+    own = Window.partitionBy("id", "th", "part")
+    lines = lines.withColumn("all", F.sum("w").over(own)).where(F.col("all") >= words)
+    lines = lines.withColumn("e", F.sum("w").over(own.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))).withColumn("first", F.col("e") - F.col("w"))
+    ahead, back = own.orderBy("first").rangeBetween(0, words - 1), own.orderBy("e").rangeBetween(1 - words, 0)
     key = lambda w: F.unhex(F.sha2(F.concat_ws("", F.collect_list("d").over(w)), 256))
-    on = F.when(F.max("e").over(ahead) - F.col("s") >= words, F.struct(F.lit(0).alias("side"), F.col("i").alias("a"), F.max("i").over(ahead).alias("z"), key(ahead).alias("key")))
-    to = F.when(F.col("e") - F.min("s").over(back) >= words, F.struct(F.lit(1).alias("side"), F.min("i").over(back).alias("a"), F.col("i").alias("z"), key(back).alias("key")))
+    on = F.when(F.max("e").over(ahead) - F.col("first") >= words, F.struct(F.lit(0).alias("side"), F.col("i").alias("a"), F.max("i").over(ahead).alias("z"), key(ahead).alias("key")))
+    to = F.when(F.col("e") - F.min("first").over(back) >= words, F.struct(F.lit(1).alias("side"), F.min("i").over(back).alias("a"), F.col("i").alias("z"), key(back).alias("key")))
     return lines.select("id", "th", on.alias("on"), to.alias("to")).select("id", "th", F.explode(F.array("on", "to")).alias("r")).where("r IS NOT NULL").select("id", "th", "r.*")
 
 
-def _passages_gone(scratch: Scratch, docs: DataFrame, words: int) -> DataFrame:
+def _passages_gone(scratch: Scratch, bodies: DataFrame, words: int) -> DataFrame:
     """id, text hash and the merged runs of lines, first and number, that an earlier place has."""
-    made = scratch.table(_passage_rows(docs, words))
+    made = scratch.table(_passage_rows(bodies, words))
     firsts = made.groupBy("side", "key").agg(F.min(F.struct("id", "th", "a", "z")).alias("first"), F.count("*").alias("c")).where("c > 1").select(F.col("side").alias("fside"), F.col("key").alias("fkey"), "first")
     same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
     later = made.join(firsts.hint("shuffle_hash"), (F.col("side") == F.col("fside")) & (F.col("key") == F.col("fkey"))).where(~same | (F.col("a") > F.col("first.z")))
@@ -96,29 +125,28 @@ def _passages_gone(scratch: Scratch, docs: DataFrame, words: int) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage_words: int | None = None) -> DataFrame:
     """The input with repeated chunks, and passages of ``passage_words`` words if given, cut out of ``text_col``; adds ``__lines_removed`` and ``__chunks_removed``."""
     scratch = Scratch(spark, "line-dedup")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("th", F.xxhash64("text"))
-    chunks = _chunk_rows(base)
-    repeated = chunks.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    met = scratch.table(chunks.join(repeated.hint("shuffle_hash"), "h"))
-    firsts = met.groupBy("h", "chunk").agg(F.min(F.struct("id", "th", "s")).alias("first"), F.count("*").alias("c")).where("c > 1").select(F.col("h").alias("fh"), F.col("chunk").alias("fchunk"), "first")
-    later = met.join(firsts, (F.col("h") == F.col("fh")) & (F.col("chunk") == F.col("fchunk"))).where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("s") == F.col("first.s"))))
+    bodies = _bodies(scratch, base, bool(passage_words))
+    chunks = bodies.where("kind = 0").select("id", "th", "s", "n", "body")
+    firsts = chunks.groupBy("body").agg(F.min(F.struct("id", "th", "s")).alias("first"), F.count("*").alias("c")).where("c > 1").select(F.col("body").alias("fbody"), "first")
+    later = chunks.join(firsts, F.col("body") == F.col("fbody")).where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("s") == F.col("first.s"))))
     gone = later.groupBy("id", "th").agg(F.collect_set(F.struct("s", "n")).alias("chunks"), F.lit(None).cast("array<struct<s:int,n:int>>").alias("passages"))
     if passage_words:
-        gone = gone.unionByName(_passages_gone(scratch, base, passage_words).select("id", "th", F.lit(None).alias("chunks"), "passages"))
-    gone = gone.groupBy(F.col("id").alias("__rid"), F.col("th").alias("__rth")).agg(F.first("chunks", True).alias("chunks"), F.first("passages", True).alias("passages"))
+        gone = gone.unionByName(_passages_gone(scratch, bodies, passage_words).select("id", "th", F.lit(None).alias("chunks"), "passages"))
+    gone = gone.groupBy(F.col("id").alias("gid"), F.col("th").alias("gth")).agg(F.first("chunks", True).alias("chunks"), F.first("passages", True).alias("passages"))
     spread = lambda c: f"array_distinct(flatten(transform(coalesce({c}, array()), g -> sequence(g.s, g.s + g.n - 1))))"
-    gone = gone.withColumn("__cut", F.expr(spread("chunks"))).withColumn("__more", F.expr("size(filter(coalesce(passages, array()), g -> size(array_except(sequence(g.s, g.s + g.n - 1), __cut)) > 0))"))
-    gone = gone.select("__rid", "__rth", F.expr(f"array_union(__cut, {spread('passages')})").alias("__gone"), (F.expr("size(coalesce(chunks, array()))") + F.col("__more")).alias("__n"))
-    gone = scratch.table(gone)
-    given = docs.withColumn("__text", F.col(f"`{text_col}`")).withColumn("__th", F.xxhash64("__text"))
-    out = given.join(gone.hint("shuffle_hash"), F.col(f"`{id_col}`").eqNullSafe(F.col("__rid")) & (F.col("__th") == F.col("__rth")), "left")
+    gone = gone.withColumn("cut", F.expr(spread("chunks"))).withColumn("more", F.expr("size(filter(coalesce(passages, array()), g -> size(array_except(sequence(g.s, g.s + g.n - 1), cut)) > 0))"))
+    gone = scratch.table(gone.select("gid", "gth", F.expr(f"array_union(cut, {spread('passages')})").alias("gone"), (F.expr("size(coalesce(chunks, array()))") + F.col("more")).alias("n")))
+    given = docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("th", F.xxhash64("text"))
+    out = given.join(gone.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("gid")) & (F.col("th") == F.col("gth")), "left")
     kept = F.expr("""
-        transform(array(split(__text, '\n', -1)), lines ->
-          array_join(transform(array_except(sequence(0, size(lines) - 1), __gone), i -> lines[i]), '\n')
+        transform(array(split(text, '\n', -1)), lines ->
+          array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i]), '\n')
         )[0]""")
-    out = out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(kept))
-    out = out.withColumn("__lines_removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone"))).withColumn("__chunks_removed", F.coalesce("__n", F.lit(0)))
-    return out.drop("__text", "__th", "__rid", "__rth", "__gone", "__n")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
+    columns = [text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("__lines_removed", "__chunks_removed")]
+    return out.select(*columns, F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("__lines_removed"), F.coalesce("n", F.lit(0)).alias("__chunks_removed"))
 
 
 ORACLE_SQL = f"""
