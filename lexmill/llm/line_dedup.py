@@ -165,14 +165,33 @@ WITH l AS (
   SELECT doc_id, k, min(i) AS s, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM k GROUP BY doc_id, k
 ), o AS (
   SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, s) AS nth FROM c WHERE n >= {MIN_LINES} AND length(translate(chunk, ' ' || chr(9) || chr(13) || chr(10), '')) > 0
+), n AS (
+  SELECT doc_id, i, line, e, e - w AS s FROM (
+    SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (SELECT *, len(regexp_extract_all(line, '[^ \\t\\r]+')) AS w FROM l) WHERE w > 0
+  )
+), p AS (
+  SELECT doc_id, 0 AS side, i AS a, max(i) OVER f AS z, string_agg(line, chr(10)) OVER f AS key, max(e) OVER f - s AS words FROM n
+  WINDOW f AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND {PASSAGE_WORDS - 1} FOLLOWING)
+  UNION ALL
+  SELECT doc_id, 1, min(i) OVER f, i, string_agg(line, chr(10)) OVER f, e - min(s) OVER f FROM n
+  WINDOW f AS (PARTITION BY doc_id ORDER BY e RANGE BETWEEN {PASSAGE_WORDS - 1} PRECEDING AND CURRENT ROW)
+), q AS (
+  SELECT *, first_value(doc_id) OVER f AS first_doc, first_value(z) OVER f AS first_z FROM p WHERE words >= {PASSAGE_WORDS}
+  WINDOW f AS (PARTITION BY side, key ORDER BY doc_id, a, z)
+), pl AS (
+  SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS i FROM q WHERE doc_id <> first_doc OR a > first_z
 ), m AS (
-  SELECT k.doc_id, k.i, k.line, coalesce(o.nth, 1) > 1 AS gone, CASE WHEN o.nth > 1 AND o.s = k.i THEN 1 ELSE 0 END AS starts
-  FROM k LEFT JOIN o ON o.doc_id = k.doc_id AND o.k = k.k
+  SELECT k.doc_id, k.i, k.line, coalesce(o.nth, 1) > 1 AS in_chunk, pl.i IS NOT NULL AS in_passage, CASE WHEN o.nth > 1 AND o.s = k.i THEN 1 ELSE 0 END AS starts
+  FROM k LEFT JOIN o ON o.doc_id = k.doc_id AND o.k = k.k LEFT JOIN pl ON pl.doc_id = k.doc_id AND pl.i = k.i
+), more AS (
+  SELECT doc_id, count(*) AS n FROM (
+    SELECT doc_id, run FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM m WHERE in_passage) GROUP BY doc_id, run HAVING NOT bool_and(in_chunk)
+  ) GROUP BY doc_id
 ), t AS (
-  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text,
-         CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS lines_removed, CAST(sum(starts) AS BIGINT) AS chunks_removed
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT in_chunk AND NOT in_passage), '') AS text,
+         CAST(count(*) FILTER (WHERE in_chunk OR in_passage) AS BIGINT) AS lines_removed, CAST(sum(starts) AS BIGINT) AS chunks_removed
   FROM m GROUP BY doc_id
 )
-SELECT d.doc_id, t.text, coalesce(t.lines_removed, 0) AS lines_removed, coalesce(t.chunks_removed, 0) AS chunks_removed
-FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id
+SELECT d.doc_id, t.text, coalesce(t.lines_removed, 0) AS lines_removed, CAST(coalesce(t.chunks_removed, 0) + coalesce(more.n, 0) AS BIGINT) AS chunks_removed
+FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN more ON more.doc_id = d.doc_id
 """
