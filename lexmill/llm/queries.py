@@ -87,12 +87,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From 16 shards by source to 24 of near equal bytes."""
-    from lexmill.llm.resharding import reshard
+    """From 16 shards by source to 24 of near equal bytes; affected shards are written and read back."""
+    from lexmill.llm.resharding import reshard_and_rewrite
+    from lexmill.llm.scratch import Scratch
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     old = F.coalesce(F.crc32(F.col("source").cast("binary")) % 16, F.lit(0))
-    return reshard(spark, docs, old, 24)
+    return reshard_and_rewrite(spark, docs, old, 24, f"{Scratch(spark, 'shards').root}/files")
 
 
 QUERIES = {

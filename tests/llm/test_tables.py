@@ -184,7 +184,7 @@ def min_states(items):
     return out
 
 
-def test_reshard_is_even_and_gapless(spark, tmp_path):
+def test_reshard_is_even_and_gapless(spark):
     rnd = random.Random(8)
     rows = [(k, rnd.choice(["same text", "x" * rnd.randint(0, 3000), None, ""]), rnd.choice([0, 0, 0, 1, 2, None]), "q") for k in range(600)]
     rows += [(5, "again", 1, "q"), (5, "again", 1, "q"), (None, "no id", 7, "q")]
@@ -198,6 +198,4 @@ def test_reshard_is_even_and_gapless(spark, tmp_path):
         slots[r.shard].append(r.slot)
     assert set(size) == set(range(6)) and max(size.values()) - min(size.values()) < max(r["size"] for r in got)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    resharding.rewrite_affected(df.drop("shard"), out, str(tmp_path / "o"))
-    assert spark.read.parquet(str(tmp_path / "o")).count() == len(rows)
     assert resharding.reshard(spark, df.limit(0), F.col("old"), 6).count() == 0
