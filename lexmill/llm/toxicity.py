@@ -11,9 +11,19 @@ document.  A document's score is that of its highest window, over the whole text
 As the softmax is linear in the mean, scoring needs one number per table row.
 Misspellings never seen share most n-grams with the word that was.
 
+Training sees a bounded sample: ``SAMPLE_ROWS`` labelled documents whose text has
+a word, half of each label where there are enough, in the order of a hash of their
+id, whatever their length.  What the driver fetches is bounded by ``SAMPLE_BYTES``
+for all of them together: where whole texts are more, the longest are seen in
+windows spread evenly over them.
+
 Defined edge cases: null, empty or wordless text scores as the softmax of the
-bias alone; a null doc_id is passed through; repeated rows each give a row; an
-empty table gives an empty result; extra columns are ignored.
+bias alone and trains nothing; a null doc_id is passed through; repeated rows each
+give a row; a doc_id labelled both ways is not learnt from, one labelled twice
+alike counts once; of several texts under one labelled doc_id that of the smallest
+hash is learnt; a very long text is scored in one piece, window by window; where a
+label has no text to learn from all scores are alike; an empty table gives an empty
+result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +42,9 @@ TABLE_BITS = 18
 DIM = 8
 WINDOW_WORDS = 6
 SAMPLE_ROWS = 2400
-SAMPLE_BYTES = 8000
+SAMPLE_BYTES = 24_000_000
+#: bytes of one window of a text that is not seen whole
+PIECE_BYTES = 2000
 THRESHOLD = 0.7
 
 _CLEAN = np.arange(256, dtype=np.uint8)
@@ -155,26 +167,41 @@ def score_block(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def _level(lengths: list[int], total: int) -> int:
+    """The length up to which texts are seen whole, so that all together stay within ``total``."""
+    left = sorted(lengths)
+    for k, n in enumerate(left):
+        if n * (len(left) - k) > total:
+            return max(1, total // (len(left) - k))
+        total -= n
+    return max(left, default=1)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "label", text: str = "text", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, seed: int = 11) -> dict:
-    """Train on at most ``rows`` labelled texts of at most ``most_bytes``, half of each label where there are enough.
+    """Train on at most ``rows`` labelled texts, of which at most about ``most_bytes`` are fetched.
 
-    Labels are sampled by the hash of their id first; the sample, of bounded
-    size, goes to the documents, which are not shuffled.
+    Only ids, lengths and hashes of documents are dealt out to meet the labels;
+    the texts of the sample, chosen by then, are fetched by a broadcast of it.
     """
-    given = labels.select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isin(0, 1))
-    picked = []
-    for y in (0, 1):
-        picked += given.where(F.col("y") == y).withColumn("o", F.xxhash64("i", F.lit(seed))).orderBy("o", "i").limit(rows).select("i", "o", "y").collect()
-    chosen = F.broadcast(labels.sparkSession.createDataFrame([tuple(r) for r in picked], "i long, o long, y int"))
-    found = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where(F.octet_length("text") <= most_bytes).join(chosen, F.col("id") == F.col("i"))
-    texts = {y: [] for y in (0, 1)}
-    for r in sorted(found.select("o", "y", "text").collect(), key=lambda r: (r["o"], r["text"])):
-        if len(texts[r["y"]]) < rows // 2:
-            texts[r["y"]].append(r["text"].encode())
-    if not texts[0] or not texts[1]:
-        only = 1.0 if texts[1] else 0.0
+    given = labels.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{label}`").cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isin(0, 1))
+    given = given.groupBy("i").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").select("i", "y", F.xxhash64("i", F.lit(seed)).alias("o"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike("[^\\x00-\\x2f]"))
+    one = texts.select("id", F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("n")).alias("t")).groupBy("id").agg(F.min("t").alias("t"))
+    met = given.join(one, F.col("i") == F.col("id")).select("i", "o", "y", "t.h", "t.n")
+    picked = [r for y in (0, 1) for r in met.where(F.col("y") == y).orderBy("o", "i").limit(rows // 2).collect()]
+    if len({r["y"] for r in picked}) < 2:
+        only = 1.0 if any(r["y"] for r in picked) else 0.0
         return {"weight": np.zeros(1 << TABLE_BITS), "bias": 4.0 * (2 * only - 1), "window": WINDOW_WORDS}
-    return train(texts[0] + texts[1], np.array([0] * len(texts[0]) + [1] * len(texts[1])), seed)
+    whole = _level([r["n"] for r in picked], most_bytes)
+    chosen = F.broadcast(labels.sparkSession.createDataFrame([(r["i"], r["h"]) for r in picked], "i long, h long"))
+    raw, n, size = F.encode("text", "UTF-8"), F.octet_length("text"), min(PIECE_BYTES, whole)
+    pieces = max(2, whole // size)
+    windows = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda k: F.substring(F.col("raw"), (F.lit(1) + F.floor(k * (F.col("n") - size) / (pieces - 1))).cast("int"), F.lit(size)))
+    found = texts.join(chosen, (F.col("id") == F.col("i")) & (F.xxhash64("text") == F.col("h"))).select("i", raw.alias("raw"), n.alias("n"))
+    found = found.select("i", F.when(F.col("n") <= whole, F.array("raw")).otherwise(windows).alias("w")).groupBy("i").agg(F.first("w").alias("w"))
+    text_of = {r["i"]: b"\n".join(map(bytes, r["w"])) for r in found.collect()}
+    picked = [r for r in picked if r["i"] in text_of]
+    return train([text_of[r["i"]] for r in picked], np.array([r["y"] for r in picked]), seed)
 
 
 def _scorer(shared):
@@ -190,5 +217,5 @@ def _scorer(shared):
 def scores(spark: SparkSession, docs: DataFrame, model: dict, threshold: float = THRESHOLD, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, score, predicted`` of every whole text."""
     shared = spark.sparkContext.broadcast(model)
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scorer(shared), "doc_id long, score double")
+    out = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(_scorer(shared), "doc_id long, score double")
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

@@ -80,3 +80,48 @@ def test_words_do_not_cross_rows():
     hashed, start, end, row = wordhash.words(data, offsets)
     assert row.tolist() == [0, 2, 2] and [bytes(data[a:b]) for a, b in zip(start, end)] == [b"ab", b"c", b"d"]
     assert len(set(hashed.tolist())) == 3
+
+
+def test_scores_by_brute_force():
+    """Every window of every text, n-gram by n-gram."""
+    rnd = random.Random(12)
+    rng = np.random.default_rng(12)
+    model = {"weight": rng.normal(size=1 << toxicity.TABLE_BITS), "bias": -0.3, "window": 3}
+    texts = ["", "...", "a", "one Two, three four five six", "x" * 40 + " yy é日本"] + [" ".join(rnd.choice(WORDS["fr"]) for _ in range(rnd.randint(1, 30))) for _ in range(20)]
+
+    def slots(word):
+        gram, _, _ = toxicity.subwords(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word.encode())]))
+        return gram.tolist()
+
+    want = []
+    for t in texts:
+        words = "".join(c if ord(c) > 127 or c.isalnum() else " " for c in t).split(" ")
+        words = [w for w in words if w]
+        tops = [model["bias"]] if not words else []
+        for k in range(len(words)):
+            got = [g for w in words[k : k + 3] for g in slots(w)]
+            tops.append(sum(model["weight"][g] for g in got) / max(len(got), 1) + model["bias"])
+        want.append(1 / (1 + np.exp(-max(tops))))
+    raw = [t.encode() for t in texts]
+    assert np.allclose(toxicity.score_block(model, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])), want)
+
+
+def test_the_sample_holds_long_texts_and_no_doubtful_labels(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, seed: seen.update(texts=texts, labels=labels.tolist()) or {"weight": np.zeros(1 << toxicity.TABLE_BITS), "bias": 0.0, "window": 6})
+    long = " ".join(f"w{k}" for k in range(60_000))
+    docs = [(1, long), (2, "short one"), (3, None), (4, "..."), (5, "both ways"), (6, "alike"), (7, "first"), (7, "other"), (None, "no id"), (8, "bad words")]
+    docs += [(9, "much repeated")] * 500
+    labels = [(1, 1), (2, 0), (3, 1), (4, 1), (5, 0), (5, 1), (6, 0), (6, 0), (7, 1), (None, 1), (8, None), (9, 0), (77, 1)]
+    df, ldf = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, label int")
+    toxicity.fit(df, ldf)
+    got = sorted(zip(seen["texts"], seen["labels"], strict=True))
+    assert len(got) == 5 and (long.encode(), 1) in got and (b"short one", 0) in got and (b"alike", 0) in got and (b"much repeated", 0) in got
+    assert {t for t, y in got if y == 1} - {long.encode()} < {b"first", b"other"}
+    toxicity.fit(df, ldf, most_bytes=40_000)
+    cut = max(seen["texts"], key=len)
+    assert 30_000 < len(cut) <= 40_100 and cut.startswith(b"w0 w1 ") and cut.endswith(b"w59999") and b" w30000 " in long.encode()
+    # labels whose texts are missing take no place in the sample
+    more = spark.createDataFrame([(1000 + k, k % 2) for k in range(3000)] + [(1, 1), (2, 0)], "doc_id long, label int")
+    toxicity.fit(df, more, rows=4)
+    assert sorted(seen["labels"]) == [0, 1]
