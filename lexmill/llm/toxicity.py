@@ -42,7 +42,7 @@ TABLE_BITS = 18
 DIM = 8
 WINDOW_WORDS = 6
 SAMPLE_ROWS = 2400
-SAMPLE_BYTES = 24_000_000
+SAMPLE_BYTES = 12_000_000
 #: bytes of one window of a text that is not seen whole
 PIECE_BYTES = 2000
 THRESHOLD = 0.7
@@ -83,16 +83,15 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return gram, word, row
 
 
-def window_logits(gram: np.ndarray, word: np.ndarray, row: np.ndarray, weight: np.ndarray, bias: float, n_rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Highest window logit of each text and the first word of that window (-1: no word)."""
+def window_logits(sums: np.ndarray, counts: np.ndarray, row: np.ndarray, bias: float, n_rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Highest window logit of each text and the first word of that window (-1: no word), from each word's sum and number of n-grams."""
     n_words = len(row)
     top, first = np.full(n_rows, bias), np.full(n_rows, -1, dtype=np.int64)
     if not n_words:
         return top, first
-    s = np.zeros(n_words + 1)
-    c = np.zeros(n_words + 1)
-    np.cumsum(np.bincount(word, weights=weight[gram], minlength=n_words), out=s[1:])
-    np.cumsum(np.bincount(word, minlength=n_words), out=c[1:])
+    s, c = np.zeros(n_words + 1), np.zeros(n_words + 1)
+    np.cumsum(sums, out=s[1:])
+    np.cumsum(counts, out=c[1:])
     a = np.arange(n_words)
     bounds = np.searchsorted(row, np.arange(n_rows + 1))
     b = np.minimum(a + size, bounds[row + 1])
@@ -104,16 +103,38 @@ def window_logits(gram: np.ndarray, word: np.ndarray, row: np.ndarray, weight: n
     return top, first
 
 
+def _grams(texts: list[bytes], block_bytes: int = 500_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(table rows word by word, where each word's begin, row of each word), a few texts at a time."""
+    grams, counts, rows, at = [], [], [], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= block_bytes):
+            size += len(texts[end])
+            end += 1
+        gram, word, row = subwords(np.frombuffer(b"".join(texts[at:end]), dtype=np.uint8), np.cumsum([0, *map(len, texts[at:end])]))
+        grams.append(gram[np.argsort(word, kind="stable")])
+        counts.append(np.bincount(word, minlength=len(row)))
+        rows.append(row + at)
+        at = end
+    none = np.zeros(0, np.int64)
+    return np.concatenate([*grams, none.astype(np.int32)]), np.concatenate(([0], np.cumsum(np.concatenate([*counts, none])))), np.concatenate([*rows, none])
+
+
+def _word_sums(gram: np.ndarray, begin: np.ndarray, weight: np.ndarray, words: int = 100_000) -> np.ndarray:
+    """Sum of the weights of each word's n-grams."""
+    out = np.zeros(len(begin) - 1)
+    for a in range(0, len(out), words):
+        b = min(a + words, len(out))
+        total = np.concatenate(([0.0], np.cumsum(weight[gram[begin[a] : begin[b]]])))
+        out[a:b] = np.diff(total[begin[a : b + 1] - begin[a]])
+    return out
+
+
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 11, window: int = WINDOW_WORDS, warm: int = 2, rounds: int = 12, rate: float = 0.25) -> dict:
     """Joint training; returns the table's rows folded with the softmax, and the bias."""
     rng = np.random.default_rng(seed)
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    offsets = np.cumsum([0, *map(len, texts)])
-    gram, word, row = subwords(data, offsets)
-    order = np.argsort(word, kind="stable")
-    gram, word = gram[order], word[order]
+    gram, g_at, row = _grams(texts)
     n_words = len(row)
-    g_at = np.searchsorted(word, np.arange(n_words + 1))
     ends = np.searchsorted(row, np.arange(len(texts) + 1))
     table = rng.normal(0, 0.02, (1 << TABLE_BITS, DIM)).astype(np.float32)
     out, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -153,7 +174,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 11, window: int =
         fit(all_firsts, labels[row[all_firsts]])
     for _ in range(rounds):
         weight = (table @ (out[:, 1] - out[:, 0])).astype(np.float64)
-        _, first = window_logits(gram, word, row, weight, float(bias[1] - bias[0]), len(texts), window)
+        _, first = window_logits(_word_sums(gram, g_at, weight), np.diff(g_at), row, float(bias[1] - bias[0]), len(texts), window)
         kept = np.flatnonzero(first >= 0)
         more = rng.choice(all_firsts[labels[row[all_firsts]] == 0], size=min(len(kept), int((labels[row[all_firsts]] == 0).sum())), replace=False)
         fit(np.concatenate((first[kept], more)), np.concatenate((labels[kept], np.zeros(len(more), labels.dtype))))
@@ -163,7 +184,8 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 11, window: int =
 def score_block(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Probability of class 1 for each text of a block."""
     gram, word, row = subwords(data, offsets)
-    z, _ = window_logits(gram, word, row, model["weight"], model["bias"], len(offsets) - 1, model["window"])
+    sums, counts = np.bincount(word, weights=model["weight"][gram], minlength=len(row)), np.bincount(word, minlength=len(row))
+    z, _ = window_logits(sums, counts, row, model["bias"], len(offsets) - 1, model["window"])
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
