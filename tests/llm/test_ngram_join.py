@@ -62,3 +62,62 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     got = sorted(run(spark, [(4, text), (4, text), (None, text), (2, text)]), key=str)
     assert got == sorted([(4, 4, 2), (4, 4, 2), (2, 4, 2), (None, 4, 2)], key=str)
     assert run(spark, []) == []
+
+
+def linked(sets, left, threshold=80):
+    import numpy as np
+
+    from lexmill.llm.ngram_join import block_links
+
+    root = list(range(len(sets)))
+    for i, j in block_links([np.array(sorted(s), dtype=np.uint64) for s in sets], left, threshold):
+        assert 100 * len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j])
+        root = [root[i] if r == root[j] else r for r in root]
+    return {frozenset(k for k, r in enumerate(root) if r == g) for g in set(root)}
+
+
+def test_block_links_by_all_pairs():
+    rnd = random.Random(7)
+    for trial in range(60):
+        base = [set(rnd.sample(range(400), rnd.randint(1, 60))) for _ in range(5)]
+        sets = []
+        for _ in range(rnd.randint(2, 25)):
+            own = set(rnd.choice(base))
+            for _ in range(rnd.randint(0, 6)):
+                own.add(rnd.randrange(400)) if rnd.random() < 0.5 else own.discard(rnd.choice(sorted(own) or [0]))
+            sets.append(own | {1000})
+        left = rnd.choice([len(sets), rnd.randint(1, len(sets) - 1)])
+        root = list(range(len(sets)))
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            if (left == len(sets) or i < left <= j) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root = [root[i] if r == root[j] else r for r in root]
+        assert linked(sets, left) == {frozenset(k for k, r in enumerate(root) if r == g) for g in set(root)}
+
+
+def test_a_tie_of_very_large_sets_links():
+    import numpy as np
+
+    from lexmill.llm.ngram_join import block_links
+
+    both = 8 * 186_415
+    n = both // 8 * 9
+    a = np.arange(n, dtype=np.uint64)
+    b = np.concatenate((a[:both], np.arange(n - both, dtype=np.uint64) + np.uint64(10 * n)))
+    assert block_links([a, b], 1, 80) == [(0, 1)]
+    assert block_links([a, np.append(b, np.uint64(99 * n))], 1, 80) == []
+
+
+def test_a_long_chain_and_a_group_over_many_blocks(spark):
+    """Neighbours of a chain share most shingles, its ends none; a group of near copies is larger than a block."""
+    words = [f"c{k}" for k in range(60 + 8 * 150)]
+    rows = [(k, " ".join(words[8 * k : 8 * k + 100])) for k in range(140)]
+    rnd = random.Random(1)
+    base = [f"b{k}" for k in range(80)]
+    for k in range(120):
+        own = list(base)
+        own[rnd.randrange(80)] = f"x{k}"
+        rows.append((1000 + k, " ".join(own)))
+    rows += [(5000 + k, f"passage shared by many texts of all kinds and lengths here {k} " * 3) for k in range(40)]
+    got = {i: (n, c) for i, n, c in run(spark, rows, block_rows=8)}
+    assert got == brute(rows)
+    assert len({c for i, (_, c) in got.items() if 1000 <= i < 2000}) == 1
