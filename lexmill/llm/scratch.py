@@ -7,22 +7,47 @@ and no more.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one where that is unset and everything runs in one process."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lexmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+#: folders of operator calls that are not removed yet
+_live: list[str] = []
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that operators made inside, at its end: what came of them must be written by then."""
+    before = set(_live)
+    yield
+    for root in [r for r in _live if r not in before]:
+        fs, at = _folder(spark, root)
+        fs.delete(at, True)
+        _live.remove(root)
+
+
 class Scratch:
     """Tables of one operator call."""
 
@@ -30,6 +55,10 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self.made = 0
+        _live.append(self.root)
+        # what nobody removes before goes when the driver ends
+        fs, at = _folder(spark, self.root)
+        fs.deleteOnExit(at)
 
     def table(self, df: DataFrame, *partition_by: str) -> DataFrame:
         """Write ``df`` once and read it back; the schema is carried over, not inferred."""
@@ -42,6 +71,5 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Remove a table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        fs, at = _folder(self.spark, df._scratch_path)
+        fs.delete(at, True)
