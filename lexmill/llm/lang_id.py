@@ -11,8 +11,10 @@ softmax of the mean of its windows' logits; windows cover the whole text.
 
 Defined edge cases: null text, empty text and text without a letter give
 ``und`` with score 0; a text shorter than a window is padded with zero bytes; a
-null doc_id is passed through; repeated rows each give a row; an empty table
-gives an empty result; extra columns are ignored.
+very long text is worked on window by window, all of it; of equally likely
+languages the first by name wins; a null doc_id is passed through; repeated rows
+each give a row; without a labelled text everything is ``und``; an empty table
+gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ WINDOW = 256
 SAMPLE_ROWS = 1500
 SAMPLE_WINDOWS = 3
 EPOCHS = 8
+#: a small sample is gone through more often, for so many steps at least
+LEAST_STEPS = 200
 UNDETERMINED = "und"
 
 
@@ -68,7 +72,7 @@ def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], seed: int =
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     weight = (len(labels) / np.maximum(np.bincount(labels, minlength=len(langs)), 1)).astype(np.float32)
     weight /= len(langs)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS * 64 // max(len(windows), 64)))):
         for at in np.array_split(rng.permutation(len(windows)), max(1, len(windows) // 64)):
             x, y = windows[at], labels[at]
             step += 1
