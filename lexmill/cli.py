@@ -16,6 +16,7 @@ from lexmill.functions import templates as tp
 from lexmill.functions import text as X
 from lexmill.operators import decode, features, hybrid, instances, model, train
 from lexmill.sources import config, corpus
+from lexmill.sources.shared import written
 
 
 def _read(path: str) -> str:
@@ -29,7 +30,25 @@ def _features(spark, path, templates):
 
 
 def _keyed(corpus_df):
-    return corpus_df.select(F.sha2(F.array_join("tokens", "\t"), 256).alias("key"), F.transform("tokens", F.lower).alias("tokens")).dropDuplicates(["key"])
+    """Every line, repeated ones too, under a key of its own; written, so that the keys stay."""
+    return written(corpus_df.select(F.monotonically_increasing_id().alias("key"), F.transform("tokens", F.lower).alias("tokens")), "lines")
+
+
+def _lines(spark, args):
+    """Lines of text, decoded where a charset is named."""
+    lines = spark.read.text(args.input)
+    if getattr(args, "charset", None):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        lines = lines.select(corpus.decode(F.col("value").cast("binary"), args.charset).alias("value"))
+    return lines
+
+
+def _segmented(spark, args, found, aw, w):
+    """Every line in its place, segmented; blank lines stay as they are, equal ones are worked on once."""
+    lines = written(spark.read.text(args.input).select(F.monotonically_increasing_id().alias("at"), "value", F.lower("value").alias("line")), "lines")
+    distinct = lines.where(X.not_blank(F.col("line"))).select(F.col("line").alias("key")).distinct()
+    words = hybrid.segment_crf(distinct.withColumn("line", F.col("key")), "key", "line", found, aw, w).select(F.col("key").alias("line"), F.array_join("words", "\t").alias("words"))
+    return lines.join(words, "line", "left").orderBy("at").select(F.coalesce("words", "value").alias("value"))
 
 
 def run(args, spark: SparkSession) -> None:
@@ -43,7 +62,7 @@ def run(args, spark: SparkSession) -> None:
     elif args.command == "feature-stat":
         features.histogram(spark.read.parquet(args.input)).write.mode("overwrite").parquet(args.output)
     elif args.command == "word-count":
-        words = spark.read.text(args.input).select(F.explode(X.split_tabs(F.lower("value"))).alias("word")).where("word <> ''")
+        words = _lines(spark, args).select(F.explode(X.split_tabs(F.lower("value"))).alias("word")).where("word <> ''")
         words.groupBy("word").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(args.output)
     elif args.command == "feature-dict":
         features.dictionary(spark.read.parquet(args.input)).write.mode("overwrite").parquet(args.output)
@@ -76,8 +95,7 @@ def run(args, spark: SparkSession) -> None:
         w, found, _ = model.load(spark, args.model)
         aw = model.attr_weights(w)
         if args.command == "seg":
-            lines = spark.read.text(args.input).where(X.not_blank(F.col("value"))).select(F.lower("value").alias("value")).distinct()
-            hybrid.segment_crf(lines.withColumn("key", F.col("value")), "key", "value", found, aw, w).select(F.array_join("words", "\t").alias("value")).write.mode("overwrite").text(args.output)
+            _segmented(spark, args, found, aw, w).write.mode("overwrite").text(args.output)
         else:
             enc = instances.encode_words(_keyed(corpus.tab_corpus(spark, args.input)), "key", "tokens", found, templates)
             got = decode.viterbi(enc, aw, w).select("key", F.col("label_ids").alias("pred")).join(enc.select("key", F.col("label_ids").alias("gold")), "key")
@@ -97,6 +115,8 @@ def parser() -> argparse.ArgumentParser:
         if name == "feature-filter":
             s.add_argument("--rules", required=True)
             s.add_argument("--stat-only", action="store_true")
+        if name == "word-count":
+            s.add_argument("--charset")
         if name in ("instances", "train"):
             s.add_argument("--dictionary", required=True)
         if name == "train":

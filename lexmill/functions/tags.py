@@ -46,25 +46,29 @@ def tags_to_words(tags: Column, sentence: Column, legacy: bool = False) -> Colum
     that word is closed before it, and nothing is lost.  ``legacy`` drops the
     character before, as the original does (possibly leaving an empty word).
     """
-    return X.bind(tags, lambda t: X.bind(sentence, lambda s: _tags_to_words(t, s, legacy)))
+    if legacy:
+        return X.bind(tags, lambda t: X.bind(sentence, lambda s: _legacy_words(t, s)))
+    # one letter a tag: a word is B, what changes nothing and E if it comes, or any one item
+    line = F.array_join(F.transform(tags, lambda t: F.when(t.isin("S", "B", "E"), t).otherwise("x")), "")
+    lengths = F.transform(F.regexp_extract_all(line, F.lit("Bx*E?|."), F.lit(0)), lambda w: F.length(w))
+    words = X.bind(X.chars(sentence), lambda c: X.bind(lengths, lambda n: X.bind(X.starts(n), lambda at: F.transform(n, lambda k, i: F.array_join(F.slice(c, F.get(at, i) + 1, k), "")))))
+    return F.when(F.size(tags) > 0, words).otherwise(F.array().cast("array<string>"))
 
 
-def _tags_to_words(tags: Column, sentence: Column, legacy: bool) -> Column:
+def _legacy_words(tags: Column, sentence: Column) -> Column:
     start = F.struct(F.lit(-1).alias("open"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, i: Column) -> Column:
         tag = F.get(tags, i)
         opened = acc["open"] >= 0
-        cut = F.substring(sentence, acc["open"] + 1, i - acc["open"] - (1 if legacy else 0))
+        cut = F.substring(sentence, acc["open"] + 1, i - acc["open"] - 1)
         closed = F.when(opened, F.array(cut)).otherwise(F.array().cast("array<string>"))
         single = F.substring(sentence, i + 1, F.lit(1))
         whole = F.substring(sentence, acc["open"] + 1, i - acc["open"] + 1)
-        stray = F.array().cast("array<string>") if legacy else F.array(single)
         return (
             F.when(tag == "B", F.struct(i.alias("open"), F.concat(acc["out"], closed).alias("out")))
             .when(tag == "S", F.struct(F.lit(-1).alias("open"), F.concat(acc["out"], closed, F.array(single)).alias("out")))
             .when((tag == "E") & opened, F.struct(F.lit(-1).alias("open"), F.concat(acc["out"], F.array(whole)).alias("out")))
-            .when(~opened, F.struct(F.lit(-1).alias("open"), F.concat(acc["out"], stray).alias("out")))
             .otherwise(acc)
         )
 

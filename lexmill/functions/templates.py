@@ -91,6 +91,39 @@ def expand(items: Column, templates=DEFAULT_TEMPLATES, width: int = 1) -> Column
     return X.bind(items, whole)
 
 
+def reach(templates) -> tuple[int, int]:
+    """Least and greatest offset that the templates read."""
+    rows = [p[0] for t in templates for p in t.parts if not isinstance(p, str)] or [0]
+    return min(rows), max(rows)
+
+
+def windows(items: Column, low: int, high: int) -> Column:
+    """For every item the values from ``low`` to ``high`` round it, as a struct; whole arrays are shifted, not single items."""
+
+    def whole(held: Column) -> Column:
+        n = F.size(held)
+
+        def shifted(row: int) -> Column:
+            if row < 0:
+                before = F.array(*[F.lit(f"_B{k}") for k in range(row, 0)])
+                return F.slice(F.concat(before, held), F.lit(1), n)
+            if row > 0:
+                after = F.concat(F.slice(held, F.lit(row + 1), F.greatest(n - row, F.lit(0))), F.array(*[F.lit(f"_B+{k}") for k in range(1, row + 1)]))
+                return F.slice(after, F.size(after) - n + 1, n)
+            return held
+
+        rows = range(min(low, 0), max(high, 0) + 1)
+        return F.arrays_zip(*[shifted(r).alias(f"x{r - min(low, 0)}") for r in rows])
+
+    return X.bind(items, whole)
+
+
+def window_features(window: Column, templates=DEFAULT_TEMPLATES) -> Column:
+    """P4 at one position: the features of all templates from its window (of items of one value)."""
+    low = min(reach(templates)[0], 0)
+    return F.array(*[F.concat(*[F.lit(p) if isinstance(p, str) else window.getField(f"x{p[0] - low}") for p in t.parts]) for t in templates])
+
+
 def is_boundary(feature: Column) -> Column:
     """Some part lies beyond an end of the sentence."""
     return feature.contains("_B-") | feature.contains("_B+")

@@ -19,6 +19,19 @@ def sentence_features(sentences: DataFrame, sentence: Column, templates=tp.DEFAU
     return made.select(F.explode(tp.expand(F.col("__items"), templates)).alias("feature")).where(~tp.is_boundary(F.col("feature")))
 
 
+def windows(sentences: DataFrame, sentence: Column, templates=tp.DEFAULT_TEMPLATES) -> DataFrame:
+    """``window, n``: the distinct stretches of items that the templates reach round a position, and how often each is met."""
+    low, high = tp.reach(templates)
+    held = sentences.select(X.chars(sentence).alias("__items")).where(F.size("__items") > 0)
+    return held.select(F.explode(tp.windows(F.col("__items"), low, high)).alias("window")).groupBy("window").agg(F.count("*").alias("n"))
+
+
+def count_sentences(sentences: DataFrame, sentence: Column, templates=tp.DEFAULT_TEMPLATES) -> DataFrame:
+    """A1, A2 over whole sentences: equal windows give equal features, so windows are counted and only distinct ones expanded."""
+    made = windows(sentences, sentence, templates).select(F.explode(tp.window_features(F.col("window"), templates)).alias("feature"), "n")
+    return made.where(~tp.is_boundary(F.col("feature"))).groupBy("feature").agg(F.sum("n").alias("cnt"))
+
+
 def count(features: DataFrame) -> DataFrame:
     """A1, A2: partial counts before the shuffle are the engine's."""
     return features.groupBy("feature").agg(F.count("*").alias("cnt"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
-from lexmill.operators import decode, dictseg, instances
+from lexmill.operators import decode, dictseg, instances, pretok
 
 
 def _slices(ambiguous: DataFrame, legacy_context: bool) -> DataFrame:
@@ -48,13 +48,31 @@ def disambiguate(runs: DataFrame, words: DataFrame, dictionary: DataFrame, attr_
     return joined.select("run", F.when(F.col("taken").isNull(), F.col("fwd")).otherwise(merged).alias("lengths"))
 
 
-def segment(texts: DataFrame, key: str, text: str, words: DataFrame, dictionary: DataFrame, attr_weights: DataFrame, model_weights: DataFrame, run_pattern: str = r"\p{L}+", legacy_context: bool = False) -> DataFrame:
-    """``key, words`` of whole texts; runs of ``run_pattern`` are segmented, every other character stands alone."""
-    pieces = texts.select(F.col(key).alias("key"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(f"{run_pattern}|(?s:.)"), F.lit(0))).alias("at", "piece"))
-    runs = pieces.where(F.length("piece") > 1).select(F.col("piece").alias("run")).distinct()
-    solved = disambiguate(runs, words, dictionary, attr_weights, model_weights, legacy_context)
-    named = pieces.join(solved, F.col("piece") == F.col("run"), "left").select("key", "at", F.when(F.col("run").isNotNull(), dictseg.cut(F.col("piece"), F.col("lengths"))).otherwise(F.array("piece")).alias("w"))
-    return named.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "w"))), lambda s: s["w"])).alias("words"))
+def segment(texts: DataFrame, key: str, text: str, words: DataFrame, dictionary: DataFrame, attr_weights: DataFrame, model_weights: DataFrame, legacy_context: bool = False, legacy_trailing_drop: bool = False) -> DataFrame:
+    """``key, begin, end, text, type`` of every token of whole texts.
+
+    Runs of ideographs (CWORD) are segmented; words, numbers and every character
+    between are tokens as the pre-tokenizer groups them.  Offsets are in the text.
+    """
+    grouped = texts.select(F.col(key).alias("key"), F.explode(pretok.groups(F.col(text), legacy_trailing_drop)).alias("g")).select("key", "g.text", "g.begin", "g.end", "g.type")
+    long = (F.col("type") == "CWORD") & (F.length("text") > 1)
+    solved = disambiguate(grouped.where(long).select(F.col("text").alias("run")).distinct(), words, dictionary, attr_weights, model_weights, legacy_context)
+    one = grouped.where(~long).select("key", "begin", "end", "text", "type")
+    runs = grouped.where(long).join(solved, F.col("text") == F.col("run"))
+    cut = X.bind(F.col("lengths"), lambda n: F.arrays_zip(X.starts(n).alias("at"), n.alias("len")))
+    many = runs.select("key", "begin", "text", "type", F.explode(cut).alias("w")).where("w.len IS NOT NULL")
+    many = many.select("key", (F.col("begin") + F.col("w.at")).alias("begin"), (F.col("begin") + F.col("w.at") + F.col("w.len")).alias("end"), F.expr("substring(text, w.at + 1, w.len)").alias("text"), "type")
+    return one.unionByName(many)
+
+
+def segment_n_best(sentences: DataFrame, key: str, sentence: str, dictionary: DataFrame, attr_weights: DataFrame, model_weights: DataFrame, n_paths: int) -> DataFrame:
+    """``key, rank, score, words`` of the best paths."""
+    from lexmill.functions import tags as tg
+
+    given = sentences.select(F.col(key).alias("key"), F.col(sentence).alias("sentence"))
+    encoded = instances.encode(given, "key", X.chars(F.col("sentence")), None, dictionary)
+    best = decode.n_best(encoded, attr_weights, model_weights, n_paths).join(given, "key")
+    return best.select("key", "rank", "score", tg.tags_to_words(tg.tag_text(F.col("label_ids")), F.col("sentence")).alias("words"))
 
 
 def segment_crf(sentences: DataFrame, key: str, sentence: str, dictionary: DataFrame, attr_weights: DataFrame, model_weights: DataFrame) -> DataFrame:

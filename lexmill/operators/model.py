@@ -111,6 +111,27 @@ def explain(instances: DataFrame, dictionary: DataFrame, weights: DataFrame) ->
     return joined.groupBy("key", "pos", "label").agg(F.sum("weight").alias("score"), F.transform(listed, lambda s: F.struct(s["feature"].alias("feature"), s["weight"].alias("weight"))).alias("features"))
 
 
+def not_descending(ranked_ids: DataFrame) -> DataFrame:
+    """Rows of ``new_id, score`` that score less than the row after them; none if the order holds."""
+    after = ranked_ids.select((F.col("new_id") - 1).alias("new_id"), F.col("score").alias("next_score"))
+    return ranked_ids.join(after, "new_id").where("score < next_score").select("new_id", "score", "next_score")
+
+
+def explain_path(states: DataFrame, best: DataFrame, small: dict) -> DataFrame:
+    """C17: ``key, pos, label, state, begin, move, end, total`` of the chosen labels: what each item and step adds to the path's score."""
+    bw, ew, tw = (F.array(*[F.lit(x) for x in small[k]]) for k in ("bw", "ew", "tw"))
+    steps = states.select("key", "states").join(best.select("key", "label_ids"), "key").select("key", "states", "label_ids", F.posexplode("label_ids").alias("pos", "label"))
+    last = F.col("pos") == F.size("label_ids") - 1
+    out = steps.select(
+        "key", "pos", "label",
+        F.get(F.get("states", F.col("pos")), F.col("label")).alias("state"),
+        F.when(F.col("pos") == 0, F.get(bw, F.col("label"))).otherwise(0.0).alias("begin"),
+        F.when(F.col("pos") > 0, F.get(tw, F.get("label_ids", F.col("pos") - 1) * LABELS + F.col("label"))).otherwise(0.0).alias("move"),
+        F.when(last, F.get(ew, F.col("label"))).otherwise(0.0).alias("end"),
+    )
+    return out.withColumn("total", F.col("state") + F.col("begin") + F.col("move") + F.col("end"))
+
+
 def lattice(states: DataFrame, best: DataFrame, small: dict) -> tuple[DataFrame, DataFrame]:
     """Nodes (with their scores, and whether on the best path) and the best path's edges."""
     nodes = states.select("key", F.posexplode("states").alias("pos", "s")).select("key", "pos", F.posexplode("s").alias("label", "score"))

@@ -5,7 +5,7 @@ The pattern takes every character of a text, so offsets are running sums.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
@@ -60,6 +60,13 @@ def tokens(text: Column, mode: str = "uax29", max_token: int = MAX_TOKEN) -> Col
     return X.bind(pieces, lambda held: _placed(held, lambda p: F.when(F.length(p) <= max_token, kind(p)), lambda p: p))
 
 
+def piece_types(texts: DataFrame, text: str, mode: str = "uax29", max_token: int = MAX_TOKEN) -> DataFrame:
+    """``piece, type, n``: distinct pieces of all texts with their number; equal pieces are typed once and need no offsets."""
+    pieces = texts.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(PATTERN if mode == "uax29" else CLASSIC_PATTERN), F.lit(0))).alias("piece"))
+    kind = (_type if mode == "uax29" else _classic_type)(F.col("piece"))
+    return pieces.groupBy("piece").agg(F.count("*").alias("n")).select("piece", F.when(F.length("piece") <= max_token, kind).alias("type"), "n")
+
+
 def _placed(pieces: Column, kind, text) -> Column:
     """``text, begin, end, type`` of pieces in order."""
 

@@ -77,7 +77,7 @@ def _features(spark, d):
 
 
 def _dictionary(spark, d):
-    return features.dictionary(_features(spark, d))
+    return features.dictionary(feature_count(spark, d))
 
 
 def synthetic_attr_weights(dictionary: DataFrame) -> DataFrame:
@@ -113,12 +113,13 @@ def template_expand(spark, d):
 
 
 def context_window(spark, d):
-    made = sentences(spark, d).select(F.explode(tp.expand(X.chars(F.array_join("words", "")), [tp.parse("%x[-1,0]|%x[0,0]|%x[1,0]")])).alias("context"))
-    return made.groupBy("context").agg(F.count("*").alias("n"))
+    templates = [tp.parse("%x[-1,0]|%x[0,0]|%x[1,0]")]
+    met = features.windows(sentences(spark, d), F.array_join("words", ""), templates)
+    return met.select(F.get(tp.window_features(F.col("window"), templates), F.lit(0)).alias("context"), "n").groupBy("context").agg(F.sum("n").alias("n"))
 
 
 def feature_count(spark, d):
-    return features.count(_features(spark, d))
+    return features.count_sentences(sentences(spark, d), F.array_join("words", ""))
 
 
 def feature_histogram(spark, d):
@@ -164,22 +165,33 @@ def tags_decode(spark, d):
     return s.select("key", F.array_join(tg.tags_to_words(F.col("tags"), F.col("sentence")), " ").alias("words"))
 
 
+def tags_decode_ill_formed(spark, d):
+    """Words from tags of which every fifth is S, wherever it falls."""
+    s = sentences(spark, d).select("key", tg.words_to_tags(F.col("words")).alias("gold"), F.array_join("words", "").alias("sentence"))
+    broken = s.select("key", "sentence", F.transform("gold", lambda t, i: F.when(i % 5 == 0, F.lit("S")).otherwise(t)).alias("tags"))
+    return broken.select("key", F.array_join(tg.tags_to_words(F.col("tags"), F.col("sentence")), " ").alias("words"))
+
+
 def tag_histogram(spark, d):
     return sentences(spark, d).select(F.explode(tg.words_to_tags(F.col("words"))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
 def instance_encode(spark, d):
     """Ids of every sentence, folded to exact sums by sentence."""
-    enc = instances.encode_words(sentences(spark, d), "key", "words", _dictionary(spark, d))
+    return _folded(instances.encode_words(sentences(spark, d), "key", "words", _dictionary(spark, d)))
+
+
+def _folded(enc):
+    """Ids of every sentence, folded to exact sums."""
     total = lambda c: F.aggregate(F.transform(c, lambda x, i: x.cast("long") * (i % 97 + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
     return enc.select("key", "n", F.size("attr_ids").alias("n_ids"), F.size(F.filter("attr_ids", lambda x: x < 0)).alias("n_missing"), total(F.col("attr_ids")).alias("id_sum"), total(F.col("label_ids")).alias("label_sum"))
 
 
 def instance_json(spark, d):
+    """Instances written as lines of JSON and read back, folded to sums."""
     enc, _ = _sentence_instances(spark, d)
     lines = corpus.instance_json(enc)
-    back = corpus.parse_instance_json(lines)
-    return back.agg(F.count("*").alias("instances"), F.sum("n").alias("items"), F.sum(F.size("attr_ids")).alias("ids"))
+    return _folded(corpus.parse_instance_json(lines.select(F.substring_index("value", "\t", 1).alias("key"), "value")))
 
 
 def crfpp_parse(spark, d):
@@ -207,20 +219,20 @@ def seg_disagreement(spark, d):
 
 
 def number_merge(spark, d):
-    """Digits written as number characters, kept whole by the walk."""
-    shown = F.translate("text", "0123456789", "零一二三四五六七八九")
-    found = _docs(spark, d).select(F.explode(F.regexp_extract_all(shown, F.lit(f"[{X.NUMBER_CHARS}]+"), F.lit(0))).alias("run"))
-    none = dictionary_words(spark, d)
-    return dictseg.forward(found, none, numbers=True).select("run", F.array_join(dictseg.cut(F.col("run"), F.col("lengths")), "/").alias("words"))
+    """Runs with digits written as number characters; runs of those and dictionary words contend for each place."""
+    shown = F.translate(F.lower("text"), "0123456789", "零一二三四五六七八九")
+    found = _docs(spark, d).select(F.explode(F.regexp_extract_all(shown, F.lit(r"\p{L}+"), F.lit(0))).alias("run"))
+    words = found.where(F.length("run").between(2, 6)).groupBy("run").agg(F.count("*").alias("n")).where("n >= 5").select(F.col("run").alias("word"))
+    got = dictseg.forward(found.where(F.col("run").rlike(f"[{X.NUMBER_CHARS}]")), words, numbers=True)
+    return got.select("run", F.array_join(dictseg.cut(F.col("run"), F.col("lengths")), "/").alias("words"))
 
 
 def uax29_tokens(spark, d):
-    got = _docs(spark, d).select(F.explode(pretok.tokens(F.col("text"))).alias("t")).where("t.type IS NOT NULL")
-    return got.groupBy("t.text", "t.type").agg(F.count("*").alias("n"))
+    return pretok.piece_types(_docs(spark, d), "text").where("type IS NOT NULL").select(F.col("piece").alias("text"), "type", "n")
 
 
 def token_type_histogram(spark, d):
-    return _docs(spark, d).select(F.explode(pretok.tokens(F.col("text"))).alias("t")).groupBy(F.coalesce("t.type", F.lit("NONE")).alias("type")).agg(F.count("*").alias("n"))
+    return pretok.piece_types(_docs(spark, d), "text").groupBy(F.coalesce("type", F.lit("NONE")).alias("type")).agg(F.sum("n").alias("n"))
 
 
 def run_grouping(spark, d):
@@ -254,6 +266,14 @@ def nbest(spark, d):
     return got.select("key", "rank", "score", F.array_join(tg.tag_text(F.col("label_ids")), " ").alias("tags"))
 
 
+def segment_n_best(spark, d):
+    """Words of the three best paths of every sentence."""
+    found = _dictionary(spark, d)
+    given = sentences(spark, d).select("key", F.array_join("words", "").alias("sentence"))
+    got = hybrid.segment_n_best(given, "key", "sentence", found, synthetic_attr_weights(found), synthetic_model_weights(spark), 3)
+    return got.select("key", "rank", "score", F.array_join("words", "/").alias("words"))
+
+
 def segment_crf(spark, d):
     found = _dictionary(spark, d)
     given = sentences(spark, d).select("key", F.array_join("words", "").alias("sentence"))
@@ -262,9 +282,50 @@ def segment_crf(spark, d):
 
 
 def segment_hybrid(spark, d):
-    found = _dictionary(spark, d)
-    got = hybrid.segment(_docs(spark, d).withColumn("text", F.lower("text")), "doc_id", "text", dictionary_words(spark, d), found, synthetic_attr_weights(found), synthetic_model_weights(spark))
-    return got.select(F.col("key").alias("doc_id"), F.size("words").alias("n_words"), F.array_join("words", "").alias("joined"))
+    """Every token of whole texts, letters shown as ideographs (numbers, other letters and signs stay)."""
+    shown = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxy", HAN)
+    texts = _docs(spark, d).select("doc_id", shown.alias("text"))
+    pieces = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{IsHan}+"), F.lit(0))).alias("run"))
+    words = pieces.where(F.length("run").between(2, 6)).groupBy("run").agg(F.count("*").alias("n")).where("n >= 5").select(F.col("run").alias("word"))
+    found = features.dictionary(features.count_sentences(pieces.distinct(), F.col("run")))
+    got = hybrid.segment(texts, "doc_id", "text", words, found, synthetic_attr_weights(found), synthetic_model_weights(spark))
+    whole = got.groupBy(F.col("key").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("begin", "end", "text", "type"))).alias("t"))
+    return whole.select("doc_id", F.size("t").alias("n_tokens"), F.array_join("t.text", "/").alias("words"), F.array_join("t.type", " ").alias("types"), F.array_join("t.begin", " ").alias("begins"))
+
+
+def explain_path(spark, d):
+    """What the items and steps of the best path of every sentence add to its score, folded by sentence."""
+    enc, dictionary = _sentence_instances(spark, d)
+    small = synthetic_model_weights(spark)
+    states = decode.sentence_states(enc, synthetic_attr_weights(dictionary))
+    best = decode.viterbi(enc, synthetic_attr_weights(dictionary), small)
+    got = model.explain_path(states, best, decode.small_weights(small)).groupBy("key")
+    return got.agg(*[F.sum(c).alias(c) for c in ("state", "begin", "move", "end", "total")], F.sum(F.col("label") * (F.col("pos") % 97 + 1)).alias("labels"))
+
+
+def _free(spark):
+    """Begin and end weights, and no transitions: items are independent."""
+    return synthetic_model_weights(spark).withColumn("w", F.when(F.col("kind") == "tw", 0.0).otherwise(F.col("w")))
+
+
+def viterbi_free(spark, d):
+    """Best tags without transitions; the lowest label wins ties."""
+    enc, dictionary = _sentence_instances(spark, d)
+    got = decode.viterbi(enc, synthetic_attr_weights(dictionary), _free(spark))
+    return got.select("key", "score", F.array_join(tg.tag_text(F.col("label_ids")), " ").alias("tags"))
+
+
+def loglik_free(spark, d):
+    """Log probability of the gold tags of every sentence, without transitions."""
+    enc, dictionary = _sentence_instances(spark, d)
+    return decode.log_probs(enc, synthetic_attr_weights(dictionary), _free(spark)).select("key", F.round("logp", 3).alias("logp"))
+
+
+def descending_scores(spark, d):
+    """Violations of the order of all ranked features; none."""
+    best = model.scores(synthetic_attr_weights(_dictionary(spark, d))).select("attr_id", "score")
+    ids = features.dense_ids(best, [F.desc("score"), F.asc("attr_id")], F.floor(-F.col("score") / 64), "new_id")
+    return model.not_descending(ids.select("new_id", "score")).select("new_id").unionByName(ids.select(F.max("new_id").alias("new_id")))
 
 
 def loglik_zero(spark, d):
@@ -322,13 +383,20 @@ def weight_kinds(spark, d):
     return model.kinds(_weights(spark, d))
 
 
-def explain_features(spark, d):
+def explained_items(spark, d):
     """The strongest feature of every item and label, by sentence."""
     enc, found = _sentence_instances(spark, d)
     got = model.explain(enc, found, synthetic_attr_weights(found))
     return got.select("key", "pos", "label", "score", F.get("features", F.lit(0))["feature"].alias("strongest"), F.size("features").alias("n_features"))
 
 
+def explain_features(spark, d):
+    """``explained_items`` folded by sentence and label."""
+    ids = _dictionary(spark, d).select(F.col("feature").alias("strongest"), "attr_id")
+    got = explained_items(spark, d).join(ids, "strongest").groupBy("key", "label")
+    return got.agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.sum("n_features").cast("long").alias("n_features"), F.sum(F.col("attr_id").cast("long") * (F.col("pos") % 97 + 1)).alias("strongest"))
+
+
 def sample_k(spark, d):
     return train.sample(_docs(spark, d).select("doc_id"), "doc_id", 50, seed=7)
 
@@ -357,8 +425,8 @@ def dir_union(spark, d):
 _QUERY_FUNCTIONS = (
     word_count, char_explode, template_expand, context_window, feature_count, feature_histogram, feature_buckets, feature_filter, feature_filter_stat,
     feature_dict, reverse_lookup, feature_shrink, tags_encode, tags_decode, tag_histogram, instance_encode, instance_json, crfpp_parse, fmm, bmm,
-    seg_disagreement, number_merge, uax29_tokens, token_type_histogram, run_grouping, state_scores, path_score, viterbi, nbest, segment_crf, segment_hybrid,
-    loglik_zero, eval_confusion, eval_accuracy, weight_average, feature_scores, topn_features, truncate_model, weight_kinds, explain_features, sample_k,
+    tags_decode_ill_formed, seg_disagreement, number_merge, uax29_tokens, token_type_histogram, run_grouping, state_scores, path_score, viterbi, nbest, segment_n_best, segment_crf, segment_hybrid,
+    explain_path, viterbi_free, loglik_free, descending_scores, loglik_zero, eval_confusion, eval_accuracy, weight_average, feature_scores, topn_features, truncate_model, weight_kinds, explain_features, sample_k,
     crf_train_eval, dir_union,
 )
 QUERIES = {f.__name__: f for f in _QUERY_FUNCTIONS}
@@ -379,30 +447,43 @@ _SMALL = """
   UNION ALL SELECT 'tw', CAST(i AS INTEGER), CAST((i * 7 + 3) % 13 - 6 AS DOUBLE) FROM range(36) t(i)
 )
 """
-#: features of the distinct runs, with weights
-_RUN_STATES = _FEATURES + "," + _RUNS + _MODEL + """
-, rchars AS (SELECT run, unnest(range(length(run))) AS pos, unnest(string_split(run, '')) AS c FROM drun)
-, rwin AS (SELECT run, pos, c, lag(c, 1, '_B-1') OVER x AS p, lead(c, 1, '_B+1') OVER x AS n FROM rchars WINDOW x AS (PARTITION BY run ORDER BY pos))
-, rfeat AS (
-  SELECT run, pos, unnest(['U00:' || p, 'U01:' || c, 'U02:' || n, 'U03:' || p || '/' || c, 'U04:' || c || '/' || n, 'U05:' || p || '/' || n]) AS feature FROM rwin
-), states AS (SELECT run, pos, l, sum(w) AS s FROM rfeat JOIN dict USING (feature) JOIN w USING (attr_id) GROUP BY run, pos, l)
-"""
-_GOLD = """
-, gold AS (SELECT run, pos, length(run) AS n,
-    CASE WHEN length(run) = 1 THEN 0 WHEN pos = length(run) - 1 THEN 2 WHEN pos = 0 THEN 1 WHEN pos = 1 THEN 3 WHEN pos = 2 THEN 4 ELSE 5 END AS y FROM rchars)
+#: state scores of every item of every sentence, the gold labels and the sentences' lengths
+_STATES = _FEATURES + _TAGS + ", known AS (SELECT key, i, feature, attr_id FROM expanded JOIN dict USING (feature)), st AS (SELECT key, i, " + ", ".join(f"sum(CAST((attr_id * 31 + {k * 17}) % 23 - 11 AS DOUBLE)) AS s{k}" for k in range(6)) + " FROM known GROUP BY key, i)" + _SMALL + f"""
+, gold AS (SELECT key, i, {_LABELS.format("tag")} AS y, max(i) OVER (PARTITION BY key) AS n FROM (SELECT key, unnest(tags) AS tag, unnest(range(1, len(tags) + 1)) AS i FROM tagged))
+, bw AS (SELECT idx, w FROM small WHERE kind = 'bw'), ew AS (SELECT idx, w FROM small WHERE kind = 'ew'), tw AS (SELECT idx, w FROM small WHERE kind = 'tw')
+, item AS (
+  SELECT gold.key, gold.i, gold.n, gold.y, l, CASE l WHEN 0 THEN s0 WHEN 1 THEN s1 WHEN 2 THEN s2 WHEN 3 THEN s3 WHEN 4 THEN s4 ELSE s5 END AS s
+  FROM gold JOIN st USING (key, i), (SELECT unnest(range(6)) AS l)
+), ended AS (
+  SELECT item.*, s + CASE WHEN i = 1 THEN bw.w ELSE 0 END + CASE WHEN i = n THEN ew.w ELSE 0 END AS v FROM item JOIN bw ON bw.idx = l JOIN ew ON ew.idx = l
+)
 """
+#: longest words of the dictionary at each place of a table of runs, with those of number characters if asked for, and the walk over them
 _WALK = """
-, hits AS (SELECT s.run, s.pos, max(length(words.word)) AS len FROM (
-    SELECT run, pos, unnest(list_transform(range(2, 7), lambda k: substr(run, CAST(pos + 1 AS BIGINT), k))) AS word, length(run) AS n FROM (SELECT run, unnest(range(length(run))) AS pos FROM {runs})
-  ) s JOIN words ON words.word = s.word GROUP BY s.run, s.pos)
-, walk AS (
+, {p}hits AS (SELECT s.run, s.pos, max(length(s.word)) AS len FROM (
+    SELECT run, pos, unnest(list_transform(range(2, 7), lambda k: substr(run, CAST(pos + 1 AS BIGINT), k))) AS word FROM (SELECT run, unnest(range(length(run))) AS pos FROM {runs})
+  ) s JOIN {words} AS d ON d.word = s.word GROUP BY s.run, s.pos {more})
+, {p}walk AS (
   SELECT run, CAST(0 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS lens FROM {runs}
   UNION ALL
-  SELECT walk.run, walk.pos + coalesce(hits.len, 1), list_append(walk.lens, coalesce(hits.len, 1))
-  FROM walk LEFT JOIN hits ON hits.run = walk.run AND hits.pos = walk.pos WHERE walk.pos < length(walk.run)
-), done AS (SELECT run, lens FROM walk WHERE pos = length(run))
+  SELECT w.run, w.pos + coalesce(h.len, 1), list_append(w.lens, coalesce(h.len, 1))
+  FROM {p}walk w LEFT JOIN {p}hits h ON h.run = w.run AND h.pos = w.pos WHERE w.pos < length(w.run)
+), {p}done AS (SELECT run, lens FROM {p}walk WHERE pos = length(run))
 """
+
+
+def _walk_sql(runs: str, words: str = "words", p: str = "", more: str = "") -> str:
+    return _WALK.format(runs=runs, words=words, p=p, more=more)
+
+
 _JOIN_WORDS = "array_to_string(list_transform(range(1, len(lens) + 1), lambda k: substr(run, CAST(coalesce(list_sum(lens[1:k-1]), 0) + 1 AS BIGINT), lens[k])), '/')"
+_PIECE = r"_*(?:(?:{L}\p{M}*)+(?:[:.'](?:{L}\p{M}*)+)*|\p{Nd}+(?:[.',;]\p{Nd}+)*)(?:_*(?:(?:{L}\p{M}*)+(?:[:.'](?:{L}\p{M}*)+)*|\p{Nd}+(?:[.',;]\p{Nd}+)*))*_*|(?s:.)"
+_PIECE_SQL = _PIECE.replace("{L}", r"\p{L}").replace("'", "''")
+_GROUP_SQL = r"(?:\p{Han}\p{M}*)+|" + _PIECE.replace("{L}", r"\p{Latin}").replace("'", "''")
+_PIECES = f"pieces AS (SELECT piece, CASE WHEN length(piece) > 255 THEN NULL WHEN regexp_matches(piece, '\\p{{L}}') THEN 'WORD' WHEN regexp_matches(piece, '\\p{{Nd}}') THEN 'NUM' END AS type, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{_PIECE_SQL}')) AS piece FROM documents) GROUP BY piece)"
+_SHOWN_NUMBERS = "nruns AS (SELECT unnest(regexp_extract_all(translate(lower(text), '0123456789', '零一二三四五六七八九'), '\\p{L}+')) AS run FROM documents WHERE text IS NOT NULL), nwords AS (SELECT run AS word FROM nruns WHERE length(run) BETWEEN 2 AND 6 GROUP BY run HAVING count(*) >= 5)"
+#: ends of the words of a walk
+_ENDS = "SELECT run, unnest(list_transform(range(1, len(lens) + 1), lambda k: list_sum(lens[1:k]))) AS e FROM "
 _COUNTS = f"WITH {_FEATURES} "
 _RULES_SQL = "(VALUES ('U00', 5), ('U01', 5), ('U03', 20), ('U04', 20)) r(prefix, threshold)"
 _PREDICTED = """
@@ -410,6 +491,13 @@ _PREDICTED = """
 , pairs AS (SELECT key, gold, CASE WHEN i % 5 = 0 THEN 'S' ELSE gold END AS pred FROM flat)
 """
 
+_ENCODED = (
+    f"WITH {_FEATURES} {_TAGS} , coded AS (SELECT e.key, (e.i - 1) * 6 + e.t AS k, coalesce(attr_id, -1) AS id FROM expanded e LEFT JOIN dict USING (feature)) "
+    f", ls AS (SELECT key, unnest(tags) AS tag, unnest(range(len(tags))) AS k FROM tagged) "
+    f"SELECT c.key, CAST(count(*) / 6 AS INTEGER) AS n, CAST(count(*) AS INTEGER) AS n_ids, CAST(count(*) FILTER (WHERE id < 0) AS INTEGER) AS n_missing, CAST(sum(CAST(id AS BIGINT) * (k % 97 + 1)) AS BIGINT) AS id_sum, any_value(s.label_sum) AS label_sum "
+    f"FROM coded c JOIN (SELECT key, CAST(sum(({_LABELS.format('tag')}) * (k % 97 + 1)) AS BIGINT) AS label_sum FROM ls GROUP BY key) s ON s.key = c.key GROUP BY c.key"
+)
+
 ORACLE_SQL = {
     "word_count": f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), {_WS})) AS word FROM documents) WHERE word <> '' GROUP BY word",
     "char_explode": "SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ch",
@@ -421,26 +509,24 @@ ORACLE_SQL = {
     "feature_filter": _COUNTS + f"SELECT feature, cnt FROM counts LEFT JOIN {_RULES_SQL} ON r.prefix = split_part(feature, ':', 1) WHERE threshold IS NULL OR cnt > threshold",
     "feature_filter_stat": _COUNTS + f"SELECT split_part(feature, ':', 1) AS prefix, count(*) FILTER (WHERE threshold IS NULL OR cnt > threshold) AS kept, count(*) FILTER (WHERE cnt <= threshold) AS dropped FROM counts LEFT JOIN {_RULES_SQL} ON r.prefix = split_part(feature, ':', 1) GROUP BY ALL",
     "feature_dict": _COUNTS + "SELECT feature, attr_id FROM dict",
-    "reverse_lookup": _COUNTS + "SELECT attr_id, feature FROM dict WHERE attr_id % 7 = 3",
+    "reverse_lookup": _COUNTS + "SELECT attr_id, feature FROM dict",
     "feature_shrink": _COUNTS + "SELECT dict.attr_id AS old_id, CAST(row_number() OVER (ORDER BY dict.attr_id) - 1 AS INTEGER) AS attr_id, feature, cnt FROM dict JOIN counts USING (feature) WHERE cnt > 10",
     "tags_encode": f"WITH {_SENTENCES} {_TAGS} SELECT key, array_to_string(tags, ' ') AS tags FROM tagged",
     "tags_decode": f"WITH {_SENTENCES} SELECT key, array_to_string(words, ' ') AS words FROM sentences",
     "tag_histogram": f"WITH {_SENTENCES} {_TAGS} SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM tagged) GROUP BY tag",
-    "instance_encode": f"WITH {_FEATURES} {_TAGS} , coded AS (SELECT e.key, (e.i - 1) * 6 + e.t AS k, coalesce(attr_id, -1) AS id FROM expanded e LEFT JOIN dict USING (feature)) "
-    f", ls AS (SELECT key, unnest(tags) AS tag, unnest(range(len(tags))) AS k FROM tagged) "
-    f"SELECT c.key, CAST(count(*) / 6 AS INTEGER) AS n, CAST(count(*) AS INTEGER) AS n_ids, CAST(count(*) FILTER (WHERE id < 0) AS INTEGER) AS n_missing, CAST(sum(CAST(id AS BIGINT) * (k % 97 + 1)) AS BIGINT) AS id_sum, any_value(s.label_sum) AS label_sum "
-    f"FROM coded c JOIN (SELECT key, CAST(sum(({_LABELS.format('tag')}) * (k % 97 + 1)) AS BIGINT) AS label_sum FROM ls GROUP BY key) s ON s.key = c.key GROUP BY c.key",
-    "instance_json": f"WITH {_RUNS} SELECT count(*) AS instances, CAST(sum(length(run)) AS BIGINT) AS items, CAST(sum(6 * length(run)) AS BIGINT) AS ids FROM drun",
+    "instance_encode": _ENCODED,
+    "instance_json": _ENCODED,
     "crfpp_parse": f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS sent_no, CAST(len(ws) AS INTEGER) AS n, array_to_string(ws, ' ') AS words, array_to_string(list_transform(ws, lambda w: CAST(length(w) AS VARCHAR)), ' ') AS labels FROM (SELECT doc_id, i, list_filter(regexp_split_to_array(line, {_WS}), lambda w: w <> '') AS ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)) WHERE len(ws) > 0",
-    "fmm": f"WITH RECURSIVE {_RUNS} {_WALK.format(runs='drun')} SELECT run, {_JOIN_WORDS} AS words FROM done",
-    "bmm": f"WITH RECURSIVE {_RUNS.replace(', words AS (SELECT run AS word', ', words AS (SELECT reverse(run) AS word')} , turned AS (SELECT reverse(run) AS run FROM drun) {_WALK.format(runs='turned')} SELECT reverse(run) AS run, reverse({_JOIN_WORDS}) AS words FROM done",
-    "number_merge": f"SELECT run, run AS words FROM (SELECT DISTINCT unnest(regexp_extract_all(translate(text, '0123456789', '零一二三四五六七八九'), '[{X.NUMBER_CHARS}]+')) AS run FROM documents)",
-    "state_scores": f"WITH {_RUN_STATES} SELECT run AS key, CAST(l AS INTEGER) AS label, sum(s) AS score FROM states GROUP BY ALL",
-    "path_score": f"WITH {_RUN_STATES} {_GOLD} {_SMALL} , st AS (SELECT g.run, sum(coalesce(s, 0)) AS s FROM gold g LEFT JOIN states USING (run, pos) WHERE l = y OR l IS NULL GROUP BY g.run) "
-    ", mv AS (SELECT a.run, sum(w) AS s FROM gold a JOIN gold b ON b.run = a.run AND b.pos = a.pos + 1 JOIN small ON kind = 'tw' AND idx = a.y * 6 + b.y GROUP BY a.run) "
-    ", en AS (SELECT run, sum(w) AS s FROM gold JOIN small ON (kind = 'bw' AND pos = 0 AND idx = y) OR (kind = 'ew' AND pos = n - 1 AND idx = y) GROUP BY run) "
-    "SELECT en.run AS key, en.s + coalesce(st.s, 0) + coalesce(mv.s, 0) AS score FROM en LEFT JOIN st USING (run) LEFT JOIN mv USING (run)",
-    "loglik_zero": f"WITH {_RUNS} SELECT round(-ln(6) * sum(length(run)), 3) AS loglik FROM drun",
+    "fmm": f"WITH RECURSIVE {_RUNS} {_walk_sql('drun')} SELECT run, {_JOIN_WORDS} AS words FROM done",
+    "bmm": f"WITH RECURSIVE {_RUNS} , rwords AS (SELECT reverse(word) AS word FROM words), turned AS (SELECT reverse(run) AS run FROM drun) {_walk_sql('turned', 'rwords')} SELECT reverse(run) AS run, reverse({_JOIN_WORDS}) AS words FROM done",
+    "number_merge": f"WITH RECURSIVE {_SHOWN_NUMBERS} , numbered AS (SELECT DISTINCT run FROM nruns WHERE regexp_matches(run, '[{X.NUMBER_CHARS}]')) "
+    + _walk_sql("numbered", "nwords", "d")
+    + f", hits AS (SELECT run, pos, max(len) AS len FROM (SELECT run, pos, len FROM dhits UNION ALL SELECT run, pos, length(regexp_extract(substr(run, CAST(pos + 1 AS BIGINT)), '^[{X.NUMBER_CHARS}]+')) FROM (SELECT run, unnest(range(length(run))) AS pos FROM numbered)) WHERE len > 1 GROUP BY run, pos)"
+    + ", walk AS (SELECT run, CAST(0 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS lens FROM numbered UNION ALL SELECT w.run, w.pos + coalesce(h.len, 1), list_append(w.lens, coalesce(h.len, 1)) FROM walk w LEFT JOIN hits h ON h.run = w.run AND h.pos = w.pos WHERE w.pos < length(w.run)) "
+    + f"SELECT run, {_JOIN_WORDS} AS words FROM (SELECT run, lens FROM walk WHERE pos = length(run))",
+    "state_scores": f"WITH {_STATES} SELECT key, CAST(l AS INTEGER) AS label, sum(s) AS score FROM item GROUP BY ALL",
+    "path_score": f"WITH {_STATES} , moves AS (SELECT key, lag(y) OVER (PARTITION BY key ORDER BY i) * 6 + y AS idx FROM gold), mv AS (SELECT key, sum(w) AS s FROM moves JOIN tw USING (idx) GROUP BY key) SELECT e.key, sum(v) + coalesce(any_value(mv.s), 0) AS score FROM ended e LEFT JOIN mv USING (key) WHERE l = y GROUP BY e.key",
+    "loglik_zero": f"WITH {_SENTENCES} SELECT round(-ln(6) * sum(length(sentence)), 3) AS loglik FROM sentences",
     "eval_confusion": f"WITH {_SENTENCES} {_TAGS} {_PREDICTED} , c AS (SELECT tag, count(*) FILTER (WHERE gold = tag AND pred = tag) AS tp, count(*) FILTER (WHERE gold <> tag AND pred = tag) AS fp, count(*) FILTER (WHERE gold <> tag AND pred <> tag) AS tn, count(*) FILTER (WHERE gold = tag AND pred <> tag) AS fn FROM pairs, (SELECT unnest(['S', 'B', 'E', 'B1', 'B2', 'M']) AS tag) GROUP BY tag) SELECT *, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 9) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 9) AS recall FROM c",
     "eval_accuracy": f"WITH {_SENTENCES} {_TAGS} {_PREDICTED} , s AS (SELECT key, count(*) AS n, count(*) FILTER (WHERE gold = pred) AS r FROM pairs GROUP BY key) SELECT CAST(sum(n) AS BIGINT) AS items, CAST(sum(r) AS BIGINT) AS items_right, count(*) AS sentences, count(*) FILTER (WHERE n = r) AS sentences_right, round(sum(r) / sum(n), 9) AS item_accuracy, round(count(*) FILTER (WHERE n = r) / count(*), 9) AS sentence_accuracy FROM s",
     "weight_average": _COUNTS + ", g AS (SELECT attr_id * 6 + l AS idx, g FROM dict, (SELECT unnest(range(6)) AS l), (SELECT unnest(range(4)) AS g)) SELECT 'fw' AS kind, CAST(idx AS INTEGER) AS idx, sum(CAST((idx * 3 + g * 5) % 16 - 8 AS DOUBLE)) / 4.0 AS w, count(*) AS contributors FROM g WHERE (idx + g) % 4 <> 1 GROUP BY idx",
@@ -448,7 +534,20 @@ ORACLE_SQL = {
     "topn_features": _COUNTS + _MODEL + ", s AS (SELECT attr_id, sum(w * w) AS score FROM w GROUP BY attr_id) SELECT CAST(row_number() OVER (ORDER BY score DESC, attr_id) - 1 AS INTEGER) AS new_id, attr_id AS old_id, feature, score FROM s JOIN dict USING (attr_id) ORDER BY score DESC, attr_id LIMIT 100",
     "truncate_model": _COUNTS + _MODEL + _SMALL + ", s AS (SELECT attr_id, sum(w * w) AS score FROM w GROUP BY attr_id), t AS (SELECT attr_id, row_number() OVER (ORDER BY score DESC, attr_id) - 1 AS new_id FROM s ORDER BY score DESC, attr_id LIMIT 100) SELECT 'fw' AS kind, CAST(new_id * 6 + l AS INTEGER) AS idx, w FROM t JOIN w USING (attr_id) UNION ALL SELECT kind, idx, w FROM small",
     "weight_kinds": _COUNTS + _MODEL + _SMALL + ", a AS (SELECT 'fw' AS kind, w FROM w UNION ALL SELECT kind, w FROM small) SELECT kind, count(*) AS n, max(w) AS w_max, min(w) AS w_min FROM a GROUP BY kind",
-    "explain_features": f"WITH {_RUN_STATES} , x AS (SELECT run, pos, l, feature, w, row_number() OVER (PARTITION BY run, pos, l ORDER BY abs(w) DESC, feature, w) AS k FROM rfeat JOIN dict USING (feature) JOIN w USING (attr_id)) SELECT run AS key, CAST(pos AS INTEGER) AS pos, CAST(l AS INTEGER) AS label, sum(w) AS score, max(feature) FILTER (WHERE k = 1) AS strongest, CAST(count(*) AS INTEGER) AS n_features FROM x GROUP BY ALL",
+    "explain_features": f"WITH {_FEATURES} , known AS (SELECT key, i, feature, attr_id FROM expanded JOIN dict USING (feature)), x AS (SELECT key, i, l, attr_id, feature, CAST((attr_id * 31 + l * 17) % 23 - 11 AS DOUBLE) AS w FROM known, (SELECT unnest(range(6)) AS l)), y AS (SELECT key, i, l, sum(w) AS score, arg_min(attr_id, {{'a': -abs(w), 'f': feature, 'w': w}}) AS strongest, count(*) AS n FROM x GROUP BY key, i, l) SELECT key, CAST(l AS INTEGER) AS label, count(*) AS n, sum(score) AS score, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(strongest * ((i - 1) % 97 + 1)) AS BIGINT) AS strongest FROM y GROUP BY key, l",
     "sample_k": "SELECT doc_id FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 50",
+    "seg_disagreement": f"WITH RECURSIVE {_RUNS} , rwords AS (SELECT reverse(word) AS word FROM words), turned AS (SELECT reverse(run) AS run FROM drun) {_walk_sql('drun', 'words', 'f')} {_walk_sql('turned', 'rwords', 't')}"
+    + ", bdone AS (SELECT reverse(run) AS run, list_reverse(lens) AS lens FROM tdone)"
+    + f", fe AS ({_ENDS} fdone), be AS ({_ENDS} bdone), shared AS (SELECT run, e FROM fe JOIN be USING (run, e) UNION ALL SELECT run, 0 FROM drun)"
+    + ", spans AS (SELECT * FROM (SELECT run, lag(e) OVER (PARTITION BY run ORDER BY e) AS a, e AS z FROM shared) WHERE a IS NOT NULL)"
+    + ", placed AS (SELECT s.run, s.a, s.z, (SELECT count(*) FROM fe WHERE fe.run = s.run AND e <= s.a) AS i0, (SELECT count(*) FROM be WHERE be.run = s.run AND e <= s.a) AS j0, (SELECT count(*) FROM fe WHERE fe.run = s.run AND e <= s.z) AS i1, (SELECT count(*) FROM be WHERE be.run = s.run AND e <= s.z) AS j1 FROM spans s)"
+    + " SELECT run, CAST(a AS INTEGER) AS start, CAST(z AS INTEGER) AS \"end\", CAST(i0 AS INTEGER) AS i0, CAST(j0 AS INTEGER) AS j0, CAST(i1 AS INTEGER) AS i1, CAST(j1 AS INTEGER) AS j1 FROM placed WHERE i1 - i0 > 1 OR j1 - j0 > 1",
+    "uax29_tokens": f"WITH {_PIECES} SELECT piece AS text, type, n FROM pieces WHERE type IS NOT NULL",
+    "token_type_histogram": f"WITH {_PIECES} SELECT coalesce(type, 'NONE') AS type, CAST(sum(n) AS BIGINT) AS n FROM pieces GROUP BY ALL",
+    "run_grouping": f"WITH g AS (SELECT piece, count(*) AS n FROM (SELECT unnest(regexp_extract_all(translate(lower(text), 'abcdefghijklmnopqrstuvwxy', '{HAN}'), '{_GROUP_SQL}')) AS piece FROM documents) GROUP BY piece), t AS (SELECT CASE WHEN regexp_matches(piece, '^\\p{{Han}}') THEN 'CWORD' WHEN length(piece) > 255 THEN 'PUNCT' WHEN regexp_matches(piece, '\\p{{L}}') THEN 'ALPHA' WHEN regexp_matches(piece, '\\p{{Nd}}') THEN 'NUMBER' ELSE 'PUNCT' END AS type, length(piece) AS len, n FROM g) SELECT type, CAST(CASE WHEN type = 'PUNCT' THEN 1 ELSE len END AS INTEGER) AS length, CAST(sum(CASE WHEN type = 'PUNCT' THEN n * len ELSE n END) AS BIGINT) AS n FROM t GROUP BY ALL",
+    "viterbi_free": f"WITH {_STATES} , b AS (SELECT key, i, max(v) AS v, arg_max(l, v * 10 - l) AS l FROM ended GROUP BY key, i) SELECT key, sum(v) AS score, string_agg(['S', 'B', 'E', 'B1', 'B2', 'M'][l + 1], ' ' ORDER BY i) AS tags FROM b GROUP BY key",
+    "loglik_free": f"WITH {_STATES} SELECT key, round(sum(p), 3) AS logp FROM (SELECT key, i, max(v) FILTER (WHERE l = y) - max(v) - ln(sum(exp(v - m))) AS p FROM (SELECT *, max(v) OVER (PARTITION BY key, i) AS m FROM ended) GROUP BY key, i) GROUP BY key",
+    "tags_decode_ill_formed": f"WITH {_SENTENCES} {_TAGS} , f AS (SELECT key, unnest(tags) AS gold, unnest(range(len(tags))) AS i, unnest(string_split(array_to_string(words, ''), '')) AS c FROM tagged), t AS (SELECT key, i, c, CASE WHEN i % 5 = 0 THEN 'S' ELSE gold END AS tag FROM f), e AS (SELECT *, last_value(CASE WHEN tag IN ('B', 'S', 'E') THEN tag END IGNORE NULLS) OVER (PARTITION BY key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM t), w AS (SELECT *, sum(CASE WHEN tag IN ('B', 'S') OR coalesce(before, '') <> 'B' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY i) AS k FROM e), words AS (SELECT key, k, string_agg(c, '' ORDER BY i) AS word FROM w GROUP BY key, k) SELECT key, string_agg(word, ' ' ORDER BY k) AS words FROM words GROUP BY key",
+    "descending_scores": _COUNTS + "SELECT CAST(count(*) - 1 AS INTEGER) AS new_id FROM dict",
     "dir_union": f"SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(text), {_WS})) AS word FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations UNION ALL SELECT text FROM benchmark)) WHERE word <> ''",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lexmill.functions import text as X
 
@@ -39,6 +40,12 @@ def column_text(texts: DataFrame, id_col: str, labelled: bool = True, value: str
     return out
 
 
+def column_labels(sequences: DataFrame) -> DataFrame:
+    """``label, label_id``: the labels that occur, numbered from 0 in text order."""
+    found = sequences.select(F.explode("labels").alias("label")).distinct()
+    return found.select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("int").alias("label_id"))
+
+
 def feature_counts(spark: SparkSession, path: str) -> DataFrame:
     """``feature <tab> count`` lines; lines of another arity are dropped (F2)."""
     parts = F.split("value", "\t")
@@ -71,9 +78,9 @@ def instance_json(df: DataFrame, key: str = "key") -> DataFrame:
 
 
 def parse_instance_json(lines: DataFrame, value: str = "value") -> DataFrame:
-    """The JSON after the first tab."""
-    body = F.regexp_replace(value, r"^[^\t]*\t", "")
-    return lines.select(F.from_json(body, INSTANCE).alias("i")).select(F.col("i.attrIds").alias("attr_ids"), F.col("i.labelIds").alias("label_ids"), F.col("i.length").alias("n"))
+    """The JSON after the first tab; other columns stay."""
+    body, rest = F.regexp_replace(value, r"^[^\t]*\t", ""), [c for c in lines.columns if c != value]
+    return lines.select(*rest, F.from_json(body, INSTANCE).alias("i")).select(*rest, F.col("i.attrIds").alias("attr_ids"), F.col("i.labelIds").alias("label_ids"), F.col("i.length").alias("n"))
 
 
 def write_tsv(df: DataFrame, path: str) -> None:

@@ -139,8 +139,144 @@ def test_hybrid_keeps_every_character(spark):
     mw = spark.createDataFrame([("bw", 0, 0.0)], "kind string, idx int, w double")
     texts = spark.createDataFrame([(1, "一千年来人类历史, x 12"), (2, "")], "id long, t string")
     for legacy in (False, True):
-        got = {r.key: r.words for r in hybrid.segment(texts, "id", "t", words, found, aw, mw, legacy_context=legacy).collect()}
-        assert "".join(got[1]) == "一千年来人类历史, x 12"
+        got = sorted((r.begin, r.end, r.text) for r in hybrid.segment(texts, "id", "t", words, found, aw, mw, legacy_context=legacy).collect() if r.key == 1)
+        assert "".join(t for _, _, t in got) == "一千年来人类历史, x 12"
+        assert all(z == b and t == "一千年来人类历史, x 12"[a:z] for (a, z, t), (b, _, _) in zip(got, got[1:]))
+
+
+def choice(spark, weights):
+    """A dictionary of features and weights by feature and tag; whatever is not named is 0."""
+    found = spark.createDataFrame([(f, k) for k, f in enumerate(weights)], "feature string, attr_id int")
+    aw = spark.createDataFrame([(k, [float(w.get(t, 0)) for t in tg.TAGS]) for k, w in enumerate(weights.values())], "attr_id int, w array<double>")
+    return found, aw, spark.createDataFrame([("bw", 0, 0.0)], "kind string, idx int, w double")
+
+
+def test_hybrid_by_groups_with_types_and_offsets(spark):
+    words = spark.createDataFrame([("我爱",), ("hello",)], "word string")
+    texts = spark.createDataFrame([(1, "我爱 3.14元 hello word_x")], "id long, t string")
+    got = sorted(tuple(r)[1:] for r in hybrid.segment(texts, "id", "t", words, *choice(spark, {"U01:爱": {"E": 1}})).collect())
+    assert got == [(0, 2, "我爱", "CWORD"), (2, 3, " ", "PUNCT"), (3, 7, "3.14", "NUMBER"), (7, 8, "元", "CWORD"), (8, 9, " ", "PUNCT"), (9, 14, "hello", "ALPHA"), (14, 15, " ", "PUNCT"), (15, 21, "word_x", "ALPHA")]
+
+
+@pytest.mark.parametrize(("weights", "want"), [
+    ({"U01:一": {"B": 5}}, "一千/年/来人/类/历史"),  # the first region: 一 begins a word, as forward has it
+    ({"U01:一": {"S": 5}}, "一/千年/来人/类/历史"),  # alone, as backward has it
+    ({"U01:类": {"E": 5}, "U01:一": {"B": 5}}, "一千/年/来/人类/历史"),
+    ({"U01:类": {"E": 5}, "U01:一": {"S": 5}}, "一/千年/来/人类/历史"),
+    ({"U01:史": {"E": 5}}, "一千/年/来人/类/历史"),  # a tie: forward stays
+])
+def test_hybrid_takes_the_better_side_of_each_region(spark, weights, want):
+    words = spark.createDataFrame([(w,) for w in ("一千", "千年", "来人", "人类", "历史")], "word string")
+    texts = spark.createDataFrame([(1, "一千年来人类历史")], "id long, t string")
+    for legacy in (False, True):
+        got = sorted((r.begin, r.text) for r in hybrid.segment(texts, "id", "t", words, *choice(spark, weights), legacy_context=legacy).collect())
+        assert "/".join(t for _, t in got) == want
+
+
+def test_hybrid_context_decides(spark):
+    """历史 behind the second region counts only with the corrected context: 类 at the end of a slice or before 历."""
+    words = spark.createDataFrame([(w,) for w in ("一千", "千年", "来人", "人类", "历史")], "word string")
+    texts = spark.createDataFrame([(1, "一千年来人类历史")], "id long, t string")
+    weights = {"U04:类/历": {"E": 5}}
+    for legacy, want in ((False, "来/人类"), (True, "来人/类")):
+        got = sorted((r.begin, r.text) for r in hybrid.segment(texts, "id", "t", words, *choice(spark, weights), legacy_context=legacy).collect())
+        assert "/".join(t for a, t in got if 3 <= a < 6) == want
+
+
+def test_windows_give_the_features_of_sentences(spark):
+    df = spark.createDataFrame([("abcab",), ("a",), ("",), (None,), ("ab",)], "x string")
+    for patterns in (tp.DEFAULT, ("T:%x[0,0]",), ("T:%x[-3,0]/%x[2,0]",), ("T:%x[2,0]", "V:%x[4,0]"), ("T:%x[-4,0]",)):
+        made = tuple(tp.parse(p) for p in patterns)
+        want = sorted(map(tuple, features.count(features.sentence_features(df, F.col("x"), made)).collect()))
+        assert sorted(map(tuple, features.count_sentences(df, F.col("x"), made).collect())) == want
+        windows = features.windows(df, F.col("x"), made).select(F.explode(tp.window_features(F.col("window"), made)).alias("f"), "n").groupBy("f").agg(F.sum("n").alias("n"))
+        whole = df.where("x <> ''").select(F.explode(tp.expand(X.chars(F.col("x")), made)).alias("f")).groupBy("f").agg(F.count("*").alias("n"))
+        assert sorted(map(tuple, windows.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_calibration_finds_the_best_rate_tried():
+    rng = np.random.default_rng(3)
+    data = [(a, a[:, 0] % 3) for a in (rng.integers(0, 9, (5, 2)) for _ in range(30))]
+    lam, eta, rate = 1 / (25 * len(data)), 0.1, 2.0
+    base = -sum(len(y) for _, y in data) * math.log(3)
+    for start, wanted in ((eta, 4), (eta * 4096, 4), (eta / 64, 3)):
+        tried = {start * rate**k: crf._one_pass(data, 9, 3, lam, start * rate**k) for k in range(-40, 20)}
+        up = [e for e in sorted(tried) if e >= start]
+        up = list(itertools.takewhile(lambda e: tried[e] > base, up))
+        down = [e for e in sorted(tried, reverse=True) if e < start and tried[e] > base][: max(0, wanted - len(up))]
+        best = max(up + down, key=tried.get)
+        assert np.isclose(crf.calibrate(data, 9, 3, lam, start, rate, wanted), 1 / (lam * best))
+        assert tried[best] > base
+
+
+def test_classic_tokens(spark):
+    got = one(spark, pretok.tokens(F.col("x"), mode="classic"), row=("mail a.b@c.org I.B.M. it's AT&T www.x.com 3.14 我爱 x9",))
+    assert [(t["text"], t["type"]) for t in got if t["type"]] == [("mail", "ALPHANUM"), ("a.b@c.org", "EMAIL"), ("I.B.M.", "ACRONYM"), ("it's", "APOSTROPHE"), ("AT&T", "COMPANY"), ("www.x.com", "HOST"), ("3.14", "NUM"), ("我", "CJ"), ("爱", "CJ"), ("x9", "ALPHANUM")]
+
+
+def test_order_check_and_reports(spark):
+    ranked = spark.createDataFrame([(0, 5.0), (1, 3.0), (2, 4.0), (3, 4.0)], "new_id int, score double")
+    assert [tuple(r) for r in model.not_descending(ranked).collect()] == [(1, 3.0, 4.0)]
+    lines = {r.tag: r.line for r in model.report(model.confusion(spark.createDataFrame([("S", "S"), ("B", "S")], "gold string, pred string"))).collect()}
+    assert lines["S"] == "S precision=50.0000% recall=100.0000%" and "NaN" in lines["M"]
+    part = model.accuracy(spark.createDataFrame([(["S", "B"], ["S", "E"])], "gold array<string>, pred array<string>"))
+    both = model.merge(part.unionByName(part)).first()
+    assert (both["items"], both.items_right, both.sentences, both.item_accuracy) == (4, 2, 2, 0.5)
+    states = spark.createDataFrame([("k", [[1.0] * 6, [2.0] * 6])], "key string, states array<array<double>>")
+    best = spark.createDataFrame([("k", [1, 2])], "key string, label_ids array<int>")
+    small = {"bw": [0.5] * 6, "ew": [0.25] * 6, "tw": [float(i) for i in range(36)]}
+    nodes, edges = model.lattice(states, best, small)
+    assert nodes.count() == 12 and sorted((r.pos, r.label) for r in nodes.where("best").collect()) == [(0, 1), (1, 2)]
+    assert [tuple(r) for r in edges.collect()] == [("k", 1, 2, 8.0)]
+    told = sorted(tuple(r)[1:] for r in model.explain_path(states, best, small).collect())
+    assert told == [(0, 1, 1.0, 0.5, 0.0, 0.0, 1.5), (1, 2, 2.0, 0.0, 8.0, 0.25, 10.25)]
+    train_rows, held = train.split(spark.range(1000).withColumnRenamed("id", "k"), "k", 20)
+    assert train_rows.count() + held.count() == 1000 and 150 < held.count() < 250
+    dealt = instances.buckets(spark.range(500).withColumnRenamed("id", "key"), 10)
+    assert dealt.select("bucket").distinct().count() == 10
+
+
+def test_command_line_keeps_every_line(spark, tmp_path):
+    from lexmill import cli
+
+    def run(*argv):
+        cli.run(cli.parser().parse_args([str(a) for a in argv]), spark)
+
+    (tmp_path / "c.txt").write_text("the\tcat\nthe\tcat\na\that\n\nthe\tcat\n", encoding="utf-8")
+    (tmp_path / "t.txt").write_text("thecat\n\nahat\nthecat\n", encoding="utf-8")
+    (tmp_path / "g.txt").write_bytes("中国\t人民\n人民\n".encode("gbk"))
+    (tmp_path / "r.txt").write_text("U01 1", encoding="utf-8")
+    run("feature-count", tmp_path / "c.txt", tmp_path / "counts")
+    run("feature-stat", tmp_path / "counts", tmp_path / "stat")
+    run("feature-filter", tmp_path / "counts", tmp_path / "kept", "--rules", tmp_path / "r.txt")
+    run("feature-dict", tmp_path / "kept", tmp_path / "dict")
+    run("reverse-dict", tmp_path / "dict", tmp_path / "reverse")
+    run("dict-size", tmp_path / "dict")
+    run("instances", tmp_path / "c.txt", tmp_path / "inst", "--dictionary", tmp_path / "dict")
+    assert spark.read.parquet(str(tmp_path / "inst")).count() == 4
+    (tmp_path / "p.txt").write_text("iterations=6\nsigma=5\n", encoding="utf-8")
+    run("train", tmp_path / "inst", tmp_path / "model", "--dictionary", tmp_path / "dict", "--properties", tmp_path / "p.txt")
+    run("importance", tmp_path / "model", tmp_path / "rank")
+    run("truncate", tmp_path / "model", tmp_path / "small", "--top", 5)
+    run("test", tmp_path / "c.txt", "--model", tmp_path / "model")
+    run("seg", tmp_path / "t.txt", tmp_path / "out", "--model", tmp_path / "model")
+    lines = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert [x.replace("\t", "") for x in lines] == ["thecat", "", "ahat", "thecat"] and lines[0] == lines[3]
+    run("word-count", tmp_path / "g.txt", tmp_path / "gbk", "--charset", "GBK")
+    assert {r.word: r.n for r in spark.read.parquet(str(tmp_path / "gbk")).collect()} == {"中国": 1, "人民": 2}
+
+
+def test_small_readers(spark, tmp_path):
+    (tmp_path / "w.txt").write_text(" ab \nc\nab\nxyz\n", encoding="utf-8")
+    assert sorted(r.word for r in corpus.word_list(spark, str(tmp_path / "w.txt")).collect()) == ["ab", "xyz"]
+    (tmp_path / "n.txt").write_text("U01:a\t-5\nbad\nU01:b\t7\textra\nU02:c\t9\n", encoding="utf-8")
+    assert sorted(tuple(r) for r in corpus.feature_counts(spark, str(tmp_path / "n.txt")).collect()) == [("U01:a", -5), ("U02:c", 9)]
+    (tmp_path / "l.txt").write_text("x 1 NN\ny 2 VB\n\nz 3 NN\n", encoding="utf-8")
+    assert sorted(tuple(r) for r in corpus.column_labels(corpus.column_corpus(spark, str(tmp_path / "l.txt"))).collect()) == [("NN", 0), ("VB", 1)]
+    corpus.write_tsv(spark.createDataFrame([("a", 1)], "f string, i int"), str(tmp_path / "o"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "o")).collect()] == ["a\t1"]
+    wide = instances.encode(spark.createDataFrame([("k", ["a", "X", "b", "Y"])], "key string, items array<string>"), "key", F.col("items"), None, spark.createDataFrame([("T:aY", 3)], "feature string, attr_id int"), [tp.parse("T:%x[0,0]%x[1,1]")], width=2)
+    assert [(r.attr_ids, r.n) for r in wide.collect()] == [([3, -1], 2)]
 
 
 def test_model_tables(spark, tmp_path):
@@ -268,6 +404,9 @@ def test_sentence_queries_cover_whole_lines(spark, corpus_dir):
     assert {r.key: r.words.replace("/", "") for r in catalog.segment_crf(spark, corpus_dir).collect()} == joined
     assert {r.key: r.score for r in catalog.path_score(spark, corpus_dir).collect()} == gold
     assert {(r.key, r.label): r.score for r in catalog.state_scores(spark, corpus_dir).collect()} == states
-    assert {(r.key, r.pos, r.label): r.score for r in catalog.explain_features(spark, corpus_dir).collect()} == strongest
-    assert catalog.instance_json(spark, corpus_dir).first().asDict() == {"instances": 3, "items": items, "ids": 6 * items}
+    assert {(r.key, r.pos, r.label): r.score for r in catalog.explained_items(spark, corpus_dir).collect()} == strongest
+    assert sorted((r.key, r.n, r.n_ids) for r in catalog.instance_json(spark, corpus_dir).collect()) == sorted((k, len(t), 6 * len(t)) for k, t in joined.items())
+    folded = {r.key: (r.total, r.labels) for r in catalog.explain_path(spark, corpus_dir).collect()}
+    assert folded == {k: (v[0], sum(tg.TAGS.index(x) * (i % 97 + 1) for i, x in enumerate(v[1]))) for k, v in want.items()}
+    assert {(r.key, r["rank"]): (r.score, r.words.replace("/", "")) for r in catalog.segment_n_best(spark, corpus_dir).collect()} == {k: (s, joined[k[0]]) for k, s in best.items()}
     assert catalog.loglik_zero(spark, corpus_dir).first()["loglik"] == round(-items * math.log(6), 3)
