@@ -13,29 +13,60 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as X
 
 
+#: places of a run that are walked at a time, so that no array grows by one place after another
+WALK_BLOCK = 256
+
+
 def longest(runs: DataFrame, dictionary: DataFrame, run: str = "run") -> DataFrame:
-    """``run, at, len`` of the longest dictionary word at each position that begins one."""
-    most = dictionary.agg(F.coalesce(F.max(F.length("word")), F.lit(0))).first()[0]
+    """``run, at, len`` of the longest dictionary word at each position that begins one.
+
+    Only lengths that words with the same first two characters have are tried, so
+    one long word costs nothing elsewhere.
+    """
+    lengths = dictionary.where(F.length("word") >= 2).groupBy(F.substring("word", 1, 2).alias("__two")).agg(F.collect_set(F.length("word")).alias("__lens"))
     starts = runs.select(run).where(F.length(run) >= 2).select(run, F.explode(F.sequence(F.lit(0), F.length(run) - 2)).alias("at"))
-    spans = starts.select(run, "at", F.explode(F.sequence(F.lit(2), F.least(F.length(run) - F.col("at"), F.lit(max(most, 2))))).alias("len"))
+    near = starts.withColumn("__two", F.expr(f"substring({run}, at + 1, 2)")).join(lengths, "__two")
+    spans = near.select(run, "at", F.explode(F.filter("__lens", lambda n: n <= F.length(run) - F.col("at"))).alias("len"))
     tried = spans.withColumn("word", F.expr(f"substring({run}, at + 1, len)"))
     return tried.join(dictionary.select("word"), "word").groupBy(run, "at").agg(F.max("len").alias("len"))
 
 
+def _everywhere(found: Column, n: Column) -> Column:
+    """Word lengths of all ``n`` places from ``at, len`` of some, in order; 1 where none begins."""
+    return X.bind(
+        found,
+        lambda f: F.concat(
+            F.flatten(F.transform(f, lambda x, i: F.concat(F.array_repeat(F.lit(1), F.when(i > 0, x["at"] - F.get(f, i - 1)["at"] - 1).otherwise(x["at"])), F.array(x["len"])))),
+            F.array_repeat(F.lit(1), n - F.coalesce(F.try_element_at(f, F.lit(-1))["at"] + 1, F.lit(0))),
+        ),
+    )
+
+
 def _walk(run: Column, found: Column) -> Column:
-    """Lengths of the words of the greedy walk."""
-    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("out"))
+    """Lengths of the words of the greedy walk over ``found``, sorted ``at, len``; linear in the run's length.
+
+    Places are walked in blocks; a block gives its own array and hands on where the
+    next word begins.
+    """
 
-    def step(acc: Column, i: Column) -> Column:
-        n = F.coalesce(F.try_element_at(found, i), F.lit(1))
-        return F.when(i < acc["next"], acc).otherwise(F.struct((i + n).alias("next"), F.concat(acc["out"], F.array(n)).alias("out")))
+    def within(lens: Column, first: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("next"), F.array().cast("array<int>").alias("out"))
 
-    def walked(held: Column) -> Column:
-        nonlocal found
-        found = held
-        return F.when(F.length(run) > 0, F.aggregate(F.sequence(F.lit(0), F.length(run) - 1), start, step, lambda a: a["out"])).otherwise(F.array().cast("array<int>"))
+        # ``next`` counts the places that the word before still covers
+        def step(acc: Column, n: Column) -> Column:
+            return F.when(acc["next"] > 0, F.struct((acc["next"] - 1).alias("next"), acc["out"].alias("out"))).otherwise(F.struct((n - 1).alias("next"), F.concat(acc["out"], F.array(n)).alias("out")))
 
-    return X.bind(found, walked)
+        return F.aggregate(F.slice(lens, first + 1, F.lit(WALK_BLOCK)), start, step)
+
+    def whole(lens: Column) -> Column:
+        none = F.struct(F.lit(0).alias("next"), F.array().cast("array<array<int>>").alias("out"))
+
+        def block(acc: Column, first: Column) -> Column:
+            return X.bind(within(lens, first, acc["next"]), lambda got: F.struct(got["next"].alias("next"), F.concat(acc["out"], F.array(got["out"])).alias("out")))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(lens) - 1, F.lit(WALK_BLOCK)), none, block, lambda a: F.flatten(a["out"]))
+
+    return F.when(F.length(run) > 0, X.bind(_everywhere(found, F.length(run)), whole)).otherwise(F.array().cast("array<int>"))
 
 
 def cut(run: Column, lengths: Column) -> Column:
@@ -56,8 +87,8 @@ def forward(runs: DataFrame, dictionary: DataFrame, numbers: bool = False, run:
     found = longest(runs, dictionary, run)
     if numbers:
         found = found.unionByName(number_runs(runs, run)).groupBy(run, "at").agg(F.max("len").alias("len"))
-    by_run = found.groupBy(run).agg(F.map_from_entries(F.collect_list(F.struct("at", "len"))).alias("__found"))
-    return runs.join(by_run, run, "left").select(run, _walk(F.col(run), F.coalesce("__found", F.expr("map()").cast("map<int,int>"))).alias("lengths"))
+    by_run = found.groupBy(run).agg(F.array_sort(F.collect_list(F.struct("at", "len"))).alias("__found"))
+    return runs.join(by_run, run, "left").select(run, _walk(F.col(run), F.coalesce("__found", F.array().cast("array<struct<at:int,len:int>>"))).alias("lengths"))
 
 
 def backward(runs: DataFrame, dictionary: DataFrame, numbers: bool = False, run: str = "run") -> DataFrame:
@@ -83,11 +114,17 @@ def regions(fwd: Column, bwd: Column) -> Column:
 
 
 def _regions(e1: Column, e2: Column) -> Column:
-    shared = F.concat(F.array(F.lit(0)), F.array_intersect(e1, e2))
-    spans = X.bind(shared, lambda s: F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s) - 1), lambda a, b: F.struct(a.alias("start"), b.alias("end"))))
+    """Ends of both sides are sorted together; where two meet, both sides' word numbers are at hand."""
+
+    def side(e: Column, k: int) -> Column:
+        return F.transform(e, lambda v, i: F.struct(v.alias("at"), F.lit(k).alias("side"), (i + 1).alias("words")))
+
+    def met(t: Column) -> Column:
+        pairs = F.transform(t, lambda x, i: F.struct(x["at"].alias("at"), x["words"].alias("i"), F.get(t, i + 1)["words"].alias("j"), F.get(t, i + 1)["at"].alias("next")))
+        return F.concat(F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("next"))), F.filter(pairs, lambda p: p["at"] == p["next"]))
 
-    def upto(e: Column, x: Column) -> Column:
-        return F.size(F.filter(e, lambda v: v <= x))
+    def between(m: Column) -> Column:
+        return F.zip_with(F.slice(m, F.lit(1), F.size(m) - 1), F.slice(m, F.lit(2), F.size(m) - 1), lambda a, b: F.struct(a["at"].alias("start"), b["at"].alias("end"), a["i"].alias("i0"), a["j"].alias("j0"), b["i"].alias("i1"), b["j"].alias("j1")))
 
-    full = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), upto(e1, s["start"]).alias("i0"), upto(e2, s["start"]).alias("j0"), upto(e1, s["end"]).alias("i1"), upto(e2, s["end"]).alias("j1")))
+    full = X.bind(X.bind(F.array_sort(F.concat(side(e1, 0), side(e2, 1))), met), between)
     return F.filter(full, lambda r: ((r["i1"] - r["i0"]) > 1) | ((r["j1"] - r["j0"]) > 1))

@@ -40,14 +40,17 @@ def disambiguate(runs: DataFrame, words: DataFrame, dictionary: DataFrame, attr_
     better = scored.groupBy("run", "region", "r").agg(F.max(F.when(F.col("side") == 0, F.col("score"))).alias("s0"), F.max(F.when(F.col("side") == 1, F.col("score"))).alias("s1")).where("s1 > s0")
     taken = better.groupBy("run").agg(F.array_sort(F.collect_list("r")).alias("taken"))
     joined = walked.join(taken, "run", "left")
-    # ends of the result: forward ends outside the regions taken, backward ends inside them
-    inside = lambda e: F.exists("taken", lambda t: (e > t["start"]) & (e < t["end"]))
-    kept = F.concat(F.filter(dictseg.ends(F.col("fwd")), lambda e: ~inside(e)), F.filter(dictseg.ends(F.col("bwd")), inside))
-    at = F.concat(F.array(F.lit(0)), F.array_sort(F.array_distinct(kept)))
-    merged = F.zip_with(F.slice(at, F.lit(2), F.size(at) - 1), F.slice(at, F.lit(1), F.size(at) - 1), lambda b, a: b - a)
+    # forward words up to each region taken, the region's backward words, and what follows the last
+    parts = F.transform("taken", lambda t, i: F.flatten(F.array(F.slice("fwd", *_span(F.coalesce(F.get("taken", i - 1)["i1"], F.lit(0)), t["i0"])), F.slice("bwd", *_span(t["j0"], t["j1"])))))
+    merged = F.concat(F.flatten(parts), F.slice("fwd", *_span(F.element_at("taken", -1)["i1"], F.size("fwd"))))
     return joined.select("run", F.when(F.col("taken").isNull(), F.col("fwd")).otherwise(merged).alias("lengths"))
 
 
+def _span(a, z):
+    """First element (from 1) and number of the elements ``a`` to ``z`` (from 0)."""
+    return a + 1, z - a
+
+
 def segment(texts: DataFrame, key: str, text: str, words: DataFrame, dictionary: DataFrame, attr_weights: DataFrame, model_weights: DataFrame, legacy_context: bool = False, legacy_trailing_drop: bool = False) -> DataFrame:
     """``key, begin, end, text, type`` of every token of whole texts.
 

@@ -40,8 +40,10 @@ def _type(token: Column) -> Column:
 
 
 def _classic_type(token: Column) -> Column:
+    """A sign alone is no token, whatever sign it is."""
     return (
-        F.when(token.contains("@") & token.rlike(r"\."), "EMAIL")
+        F.when(~token.rlike(r"[\p{L}\p{N}]"), None)
+        .when(token.contains("@") & token.rlike(r"\."), "EMAIL")
         .when(token.rlike(r"^(?:[A-Za-z]\.){2,}$"), "ACRONYM")
         .when(token.contains("'"), "APOSTROPHE")
         .when(token.rlike("[&@]"), "COMPANY")
@@ -49,7 +51,7 @@ def _classic_type(token: Column) -> Column:
         .when(token.contains(".") & token.rlike(r"\d"), "NUM")
         .when(token.contains("."), "HOST")
         .when(token.rlike(r"^\p{N}+$"), "NUM")
-        .when(token.rlike(r"[\p{L}\p{N}]"), "ALPHANUM")
+        .otherwise("ALPHANUM")
     )
 
 

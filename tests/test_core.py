@@ -72,6 +72,36 @@ def test_walks_and_regions(spark):
     assert numbers.first()["lengths"] == [5]
 
 
+def test_walk_and_regions_of_long_runs(spark):
+    """Words that begin in one block of the walk and end in the next; a long dictionary word beside short ones."""
+    rng = np.random.default_rng(4)
+    longest = "".join("abc"[k] for k in rng.integers(0, 3, 300))
+    words = ["ab", "abc", "cab", "bca", "ca", longest]
+    runs = ["".join("abc"[k] for k in rng.integers(0, 3, n)) for n in (1, 255, 256, 257, 2000)] + ["ab" * 200 + longest + "ca"]
+
+    def walk(run, have, longest):
+        out, at = [], 0
+        while at < len(run):
+            n = next((k for k in range(min(longest, len(run) - at), 1, -1) if run[at : at + k] in have), 1)
+            out.append(n)
+            at += n
+        return out
+
+    def regions(f, b):
+        e, g = list(itertools.accumulate(f)), list(itertools.accumulate(b))
+        at = [0, *(x for x in e if x in set(g))]
+        spans = [(a, z, *(sum(x <= p for x in side) for p in (a, z) for side in (e, g))) for a, z in zip(at, at[1:])]
+        return [s for s in spans if s[4] - s[2] > 1 or s[5] - s[3] > 1]
+
+    got = dictseg.both(spark.createDataFrame([(r,) for r in runs], "run string"), spark.createDataFrame([(w,) for w in words], "word string"))
+    rows = got.withColumn("regions", dictseg.regions(F.col("fwd"), F.col("bwd"))).collect()
+    assert {r.run for r in rows} == set(runs)
+    for r in rows:
+        assert r.fwd == walk(r.run, set(words), 300)
+        assert r.bwd == walk(r.run[::-1], {w[::-1] for w in words}, 300)[::-1]
+        assert [tuple(x) for x in r.regions] == regions(r.fwd, r.bwd)
+
+
 def test_pretokens(spark):
     got = one(spark, pretok.groups(F.col("x")), row=("我爱 3.14元。",))
     assert [(t["text"], t["type"]) for t in got] == [("我爱", "CWORD"), (" ", "PUNCT"), ("3.14", "NUMBER"), ("元", "CWORD"), ("。", "PUNCT")]
@@ -123,7 +153,9 @@ def test_training_raises_likelihood_and_averages(spark):
     sentences = spark.createDataFrame([(f"k{k}", w) for k, w in enumerate([["the", "cat"], ["a", "cat", "sat"], ["the", "hat"], ["a", "hat"]] * 4)], "key string, words array<string>")
     found = features.dictionary(features.sentence_features(sentences, F.array_join("words", "")))
     enc = instances.encode_words(sentences, "key", "words", found)
-    params = config.TrainingParams(sigma=5.0)
+    params, told = config.TrainingParams(sigma=5.0), []
+    train.train(enc, params, 2, 1, 3, on_round=lambda k, df: told.extend((k, r.epoch, r.loglik) for r in df.collect()))
+    assert [t[:2] for t in told] == [(0, 0), (0, 1), (0, 2)] and told[0][2] < told[2][2] < 0
     for groups, rounds in ((1, 1), (2, 2)):
         w = train.train(enc, params, groups, rounds, 12, save_round=lambda df, k: spark.createDataFrame(df.collect(), df.schema))
         out = hybrid.segment_crf(sentences.select("key", F.array_join("words", "").alias("s")), "key", "s", found, model.attr_weights(w), w)
@@ -210,7 +242,7 @@ def test_calibration_finds_the_best_rate_tried():
 
 
 def test_classic_tokens(spark):
-    got = one(spark, pretok.tokens(F.col("x"), mode="classic"), row=("mail a.b@c.org I.B.M. it's AT&T www.x.com 3.14 我爱 x9",))
+    got = one(spark, pretok.tokens(F.col("x"), mode="classic"), row=(". & ' @. mail a.b@c.org I.B.M. it's AT&T www.x.com 3.14 我爱 x9",))
     assert [(t["text"], t["type"]) for t in got if t["type"]] == [("mail", "ALPHANUM"), ("a.b@c.org", "EMAIL"), ("I.B.M.", "ACRONYM"), ("it's", "APOSTROPHE"), ("AT&T", "COMPANY"), ("www.x.com", "HOST"), ("3.14", "NUM"), ("我", "CJ"), ("爱", "CJ"), ("x9", "ALPHANUM")]
 
 
