@@ -81,7 +81,11 @@ def run(args, spark: SparkSession) -> None:
             df.write.mode("overwrite").parquet(path)
             return spark.read.parquet(path)
 
-        w = train.train(spark.read.parquet(args.input), params, args.groups, args.rounds, params.iterations, saved)
+        def told(k, epochs):
+            for r in epochs.toLocalIterator():
+                print(f"round {k} epoch {r['epoch']} log likelihood {r['loglik']:.4f}")
+
+        w = train.train(spark.read.parquet(args.input), params, args.groups, args.rounds, params.iterations, saved, told)
         model.save(args.output, w, found, params.to_json())
     elif args.command == "importance":
         model.ranked(model.scores(model.attr_weights(model.load(spark, args.input)[0]))).write.mode("overwrite").parquet(args.output)

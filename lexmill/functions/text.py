@@ -70,6 +70,11 @@ def is_number_char(ch: Column) -> Column:
     return F.lit(NUMBER_CHARS).contains(ch)
 
 
+def md5_modulo(text: Column, n: int) -> Column:
+    """0 to ``n`` - 1 by the first 32 bits of the text's MD5; any engine has it."""
+    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n).cast("int")
+
+
 def bind(value: Column, body) -> Column:
     """``body(value)`` with ``value`` worked out once a row, however often the body's lambdas read it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -88,6 +88,11 @@ def check_dense(dictionary: DataFrame) -> DataFrame:
     return dictionary.agg(F.count("*").alias("size"), F.coalesce((F.max("attr_id") + 1 == F.count("*")) & (F.countDistinct("attr_id") == F.count("*")), F.lit(True)).alias("dense"))
 
 
+def memory(dictionary: DataFrame, labels: int = 6) -> DataFrame:
+    """``features, feature_bytes, weight_bytes``: what texts and dense double weights of a dictionary come to."""
+    return dictionary.agg(F.count("*").alias("features"), F.coalesce(F.sum(F.octet_length("feature")), F.lit(0)).cast("long").alias("feature_bytes"), (F.count("*") * labels * 8).alias("weight_bytes"))
+
+
 def shrink(dictionary: DataFrame, uses: DataFrame, keep_gt: int) -> DataFrame:
     """Features used more than ``keep_gt`` times, renumbered in old order; ``old_id, attr_id, feature, cnt``."""
     counted = uses.where("attr_id >= 0").groupBy("attr_id").agg(F.count("*").alias("cnt")).where(F.col("cnt") > keep_gt)

@@ -30,5 +30,5 @@ def encode_words(sentences: DataFrame, key: str, words: str, dictionary: DataFra
 
 
 def buckets(instances: DataFrame, n: int = 100) -> DataFrame:
-    """Rows dealt evenly over ``n`` buckets by key."""
-    return instances.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int"))
+    """Rows dealt evenly over ``n`` buckets by a hash of the key, the same on any engine."""
+    return instances.withColumn("bucket", X.md5_modulo(F.col("key").cast("string"), n))

@@ -7,6 +7,8 @@ letters, lower-cased.  Models are synthetic integers, so sums are exact.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from lexmill.functions import text as X
 from lexmill.operators import decode, dictseg, features, hybrid, instances, model, pretok, train
 from lexmill.sources import corpus
 from lexmill.sources.config import TrainingParams
+from lexmill.sources.shared import folder
+from lexmill.streaming import streams
 
 #: thresholds of the filter query
 RULES = "U00 5\nU01 5\nU03 20\nU04 20"
@@ -422,12 +426,128 @@ def dir_union(spark, d):
     return texts.select(F.explode(F.split(F.lower("text"), r"[ \t\r\n\f\x0B]+")).alias("word")).where("word <> ''").distinct()
 
 
+def tab_scan(spark, d):
+    """Sentences written as tab corpus lines, scanned, and counted by text and number of words."""
+    path = folder(spark, "tab")
+    sentences(spark, d).select(F.array_join("words", "\t").alias("value")).write.text(path)
+    got = corpus.tab_corpus(spark, path).select(F.array_join("tokens", "").alias("sentence"), F.size("tokens").alias("words"))
+    return got.groupBy("sentence", "words").agg(F.count("*").alias("n"))
+
+
+def counts_file(spark, d):
+    """Feature counts written as tab separated text and read back."""
+    path = folder(spark, "counts")
+    corpus.write_tsv(feature_count(spark, d), path)
+    return corpus.feature_counts(spark, path)
+
+
+def clean_dictionary(spark, d):
+    """Dictionary words from a raw list: every piece between spaces, trimmed, two characters at least, once."""
+    return corpus.clean_words(_docs(spark, d).select(F.explode(F.split("text", "[\t\r\n\f\x0B]")).alias("line")).select(F.explode(F.split("line", " ")).alias("word")))
+
+
+def repaired_counts(spark, d):
+    """Counts that wrapped round at 32 bits, as the filter and the histogram repair them."""
+    wrapped = (F.col("o_orderkey") * 2654435761) % (1 << 32) - (1 << 31)
+    cnt = spark.read.parquet(f"{d}/orders.parquet").select(wrapped.alias("cnt"))
+    return cnt.select("cnt", X.repair_filter(F.col("cnt")).alias("for_filter"), X.repair_stat(F.col("cnt")).alias("for_stat"))
+
+
+def first_pass(spark, d):
+    """What one pass over the corpus gathers: sizes of the dictionary and the corpus, and the tags met."""
+    found, tags, some, total = train.first_pass(sentences(spark, d), "key", "words", 40)
+    size = features.check_dense(found).select(F.col("size").alias("features"), "dense")
+    met = tags.agg(F.array_join(F.array_sort(F.collect_list(F.struct("label_id", "label")))["label"], " ").alias("tags"))
+    keys = some.agg(F.array_join(F.array_sort(F.collect_list("key")), " ").alias("sample"))
+    # one row each
+    return total.crossJoin(size).crossJoin(met).crossJoin(keys)
+
+
+def dictionary_memory(spark, d):
+    return features.memory(_dictionary(spark, d))
+
+
+def train_split(spark, d):
+    """Every sentence's side of a split of one in five."""
+    learn, check = train.split(sentences(spark, d).select("key"), "key", 20, seed=3)
+    return learn.select("key", F.lit("train").alias("side")).unionByName(check.select("key", F.lit("validate").alias("side")))
+
+
+def instance_buckets(spark, d):
+    return instances.buckets(sentences(spark, d).select("key"))
+
+
+def average_present(spark, d):
+    """Mean of the groups that have a weight."""
+    return model.average(_group_weights(spark, d)).withColumn("w", F.round("w", 9))
+
+
+def model_saved(spark, d):
+    """Weights and dictionary saved as a model, loaded, and joined by feature."""
+    path = folder(spark, "model")
+    model.save(path, _weights(spark, d), _dictionary(spark, d), TrainingParams().to_json())
+    w, found, _ = model.load(spark, path)
+    return found.join(model.attr_weights(w), "attr_id").select("feature", F.array_join(F.transform("w", lambda x: x.cast("int")), " ").alias("weights"))
+
+
+def merged_evaluation(spark, d):
+    """Accuracy of a hundred parts, merged."""
+    parts = instances.buckets(_predicted(spark, d))
+    right = F.aggregate(F.zip_with("gold", "pred", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, x: a + x)
+    counted = parts.select("bucket", F.size("gold").alias("n"), right.alias("r")).groupBy("bucket").agg(F.sum("n").alias("items"), F.sum("r").alias("items_right"), F.count("*").alias("sentences"), F.count_if(F.col("n") == F.col("r")).alias("sentences_right"))
+    return model.merge(counted).withColumn("item_accuracy", F.round("item_accuracy", 9)).withColumn("sentence_accuracy", F.round("sentence_accuracy", 9))
+
+
+def evaluation_report(spark, d):
+    pairs = _predicted(spark, d).select(F.explode(F.arrays_zip("gold", "pred")).alias("x")).select("x.gold", "x.pred")
+    return model.report(model.confusion(pairs))
+
+
+def classic_tokens(spark, d):
+    return pretok.piece_types(_docs(spark, d), "text", mode="classic").where("type IS NOT NULL").select(F.col("piece").alias("text"), "type", "n")
+
+
+def _free_path(spark, d):
+    """States of all items and the best path without transitions."""
+    enc, dictionary = _sentence_instances(spark, d)
+    aw = synthetic_attr_weights(dictionary)
+    return decode.sentence_states(enc, aw), decode.viterbi(enc, aw, _free(spark))
+
+
+def lattice_nodes(spark, d):
+    """Nodes of all sentences' lattices, by sentence and label."""
+    nodes, _ = model.lattice(*_free_path(spark, d), decode.small_weights(synthetic_model_weights(spark)))
+    return nodes.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.count_if("best").alias("on_path"), F.sum(F.when(F.col("best"), F.col("pos") % 97 + 1).otherwise(0)).alias("places"))
+
+
+def lattice_edges(spark, d):
+    """Edges of the chosen paths, by sentence and pair of labels."""
+    _, edges = model.lattice(*_free_path(spark, d), decode.small_weights(synthetic_model_weights(spark)))
+    return edges.groupBy("key", "from", "to").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+
+
+def explain_path_free(spark, d):
+    """What items and steps add to the score of the path that is best without transitions, all weights counted."""
+    got = model.explain_path(*_free_path(spark, d), decode.small_weights(synthetic_model_weights(spark)))
+    return got.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("state", "begin", "move", "end", "total")], F.sum(F.col("label") * (F.col("pos") % 97 + 1)).alias("labels"))
+
+
+def stream_tags(spark, d):
+    """Tag counts of a stream that finds the tab corpus in a folder."""
+    path, name = folder(spark, "stream"), f"tags_{uuid.uuid4().hex[:12]}"
+    sentences(spark, d).select(F.array_join("words", "\t").alias("value")).write.text(path)
+    running = streams.tag_counts(streams.lines(spark, path)).writeStream.outputMode("complete").format("memory").queryName(name)
+    running.option("checkpointLocation", folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
 _QUERY_FUNCTIONS = (
     word_count, char_explode, template_expand, context_window, feature_count, feature_histogram, feature_buckets, feature_filter, feature_filter_stat,
     feature_dict, reverse_lookup, feature_shrink, tags_encode, tags_decode, tag_histogram, instance_encode, instance_json, crfpp_parse, fmm, bmm,
     tags_decode_ill_formed, seg_disagreement, number_merge, uax29_tokens, token_type_histogram, run_grouping, state_scores, path_score, viterbi, nbest, segment_n_best, segment_crf, segment_hybrid,
     explain_path, viterbi_free, loglik_free, descending_scores, loglik_zero, eval_confusion, eval_accuracy, weight_average, feature_scores, topn_features, truncate_model, weight_kinds, explain_features, sample_k,
-    crf_train_eval, dir_union,
+    crf_train_eval, dir_union, tab_scan, counts_file, clean_dictionary, repaired_counts, first_pass, dictionary_memory, train_split, instance_buckets, average_present,
+    model_saved, merged_evaluation, evaluation_report, classic_tokens, lattice_nodes, lattice_edges, explain_path_free, stream_tags,
 )
 QUERIES = {f.__name__: f for f in _QUERY_FUNCTIONS}
 
@@ -498,7 +618,34 @@ _ENCODED = (
     f"FROM coded c JOIN (SELECT key, CAST(sum(({_LABELS.format('tag')}) * (k % 97 + 1)) AS BIGINT) AS label_sum FROM ls GROUP BY key) s ON s.key = c.key GROUP BY c.key"
 )
 
+_GROUPS_SQL = "g AS (SELECT attr_id * 6 + l AS idx, g FROM dict, (SELECT unnest(range(6)) AS l), (SELECT unnest(range(4)) AS g))"
+_MD5_SQL = "CAST(CAST('0x' || substr(md5({}), 1, 8) AS BIGINT) % {} AS INTEGER)"
+_CLASSIC_SQL = (
+    r"[\p{L}\p{N}]+(?:[._-][\p{L}\p{N}]+)*@[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)+|(?:[A-Za-z]\.){2,}|[A-Za-z]+(?:''[A-Za-z]+)+|[A-Za-z]+[&@][A-Za-z]+|"
+    r"[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)+|[\p{Han}\p{Hiragana}\p{Katakana}]|[\p{L}\p{N}]+"
+)
+#: the best label of every item without transitions
+_BEST = ", best AS (SELECT key, i, arg_max(l, v * 10 - l) AS y, any_value(n) AS n FROM ended GROUP BY key, i), steps AS (SELECT best.*, lag(y) OVER (PARTITION BY key ORDER BY i) AS p FROM best)"
+_ACCURACY_SQL = f"WITH {_SENTENCES} {_TAGS} {_PREDICTED} , s AS (SELECT key, count(*) AS n, count(*) FILTER (WHERE gold = pred) AS r FROM pairs GROUP BY key) SELECT CAST(sum(n) AS BIGINT) AS items, CAST(sum(r) AS BIGINT) AS items_right, count(*) AS sentences, count(*) FILTER (WHERE n = r) AS sentences_right, round(sum(r) / sum(n), 9) AS item_accuracy, round(count(*) FILTER (WHERE n = r) / count(*), 9) AS sentence_accuracy FROM s"
+
 ORACLE_SQL = {
+    "tab_scan": f"WITH {_SENTENCES} SELECT sentence, CAST(len(words) AS INTEGER) AS words, count(*) AS n FROM sentences GROUP BY ALL",
+    "counts_file": _COUNTS + "SELECT feature, cnt FROM counts",
+    "clean_dictionary": "SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(text, '[ \\t\\r\\n\\f\\v]')) AS word FROM documents) WHERE length(word) >= 2",
+    "repaired_counts": "SELECT cnt, CASE WHEN cnt < -1 THEN cnt + 4294967296 ELSE cnt END AS for_filter, CASE WHEN cnt < 0 THEN cnt + 2147483647 ELSE cnt END AS for_stat FROM (SELECT (o_orderkey * 2654435761) % 4294967296 - 2147483648 AS cnt FROM orders)",
+    "first_pass": f"WITH {_FEATURES} {_TAGS} , picked AS (SELECT key FROM sentences ORDER BY md5('0:' || key), key LIMIT 40) SELECT (SELECT count(*) FROM sentences) AS sentences, (SELECT CAST(sum(length(sentence)) AS BIGINT) FROM sentences) AS items, (SELECT count(*) FROM dict) AS features, TRUE AS dense, (SELECT string_agg(tag, ' ' ORDER BY list_position(['S', 'B', 'E', 'B1', 'B2', 'M'], tag)) FROM (SELECT DISTINCT unnest(tags) AS tag FROM tagged)) AS tags, (SELECT string_agg(key, ' ' ORDER BY key) FROM picked) AS sample",
+    "dictionary_memory": _COUNTS + "SELECT count(*) AS features, CAST(sum(strlen(feature)) AS BIGINT) AS feature_bytes, count(*) * 48 AS weight_bytes FROM dict",
+    "train_split": f"WITH {_SENTENCES} SELECT key, CASE WHEN {_MD5_SQL.format("'3:' || key", 100)} < 20 THEN 'validate' ELSE 'train' END AS side FROM sentences",
+    "instance_buckets": f"WITH {_SENTENCES} SELECT key, {_MD5_SQL.format('key', 100)} AS bucket FROM sentences",
+    "average_present": _COUNTS + f", {_GROUPS_SQL} SELECT 'fw' AS kind, CAST(idx AS INTEGER) AS idx, round(avg(CAST((idx * 3 + g * 5) % 16 - 8 AS DOUBLE)), 9) AS w, count(*) AS contributors FROM g WHERE (idx + g) % 4 <> 1 GROUP BY idx",
+    "model_saved": _COUNTS + _MODEL + "SELECT feature, string_agg(CAST(CAST(w AS INTEGER) AS VARCHAR), ' ' ORDER BY l) AS weights FROM w JOIN dict USING (attr_id) GROUP BY feature",
+    "merged_evaluation": _ACCURACY_SQL,
+    "evaluation_report": f"WITH {_SENTENCES} {_TAGS} {_PREDICTED} , c AS (SELECT tag, count(*) FILTER (WHERE gold = tag AND pred = tag) AS tp, count(*) FILTER (WHERE gold <> tag AND pred = tag) AS fp, count(*) FILTER (WHERE gold = tag AND pred <> tag) AS fn FROM pairs, (SELECT unnest(['S', 'B', 'E', 'B1', 'B2', 'M']) AS tag) GROUP BY tag) SELECT tag, tag || ' precision=' || CASE WHEN tp + fp > 0 THEN printf('%.4f', 100.0 * (tp / (tp + fp))) ELSE 'NaN' END || '% recall=' || CASE WHEN tp + fn > 0 THEN printf('%.4f', 100.0 * (tp / (tp + fn))) ELSE 'NaN' END || '%' AS line FROM c",
+    "classic_tokens": f"WITH p AS (SELECT unnest(regexp_extract_all(text, '{_CLASSIC_SQL}')) AS text FROM documents) SELECT text, CASE WHEN contains(text, '@') AND contains(text, '.') THEN 'EMAIL' WHEN regexp_full_match(text, '(?:[A-Za-z]\\.){{2,}}') THEN 'ACRONYM' WHEN contains(text, chr(39)) THEN 'APOSTROPHE' WHEN regexp_matches(text, '[&@]') THEN 'COMPANY' WHEN regexp_full_match(text, '[\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}]') THEN 'CJ' WHEN contains(text, '.') AND regexp_matches(text, '[0-9]') THEN 'NUM' WHEN contains(text, '.') THEN 'HOST' WHEN regexp_full_match(text, '\\p{{N}}+') THEN 'NUM' ELSE 'ALPHANUM' END AS type, count(*) AS n FROM p WHERE length(text) <= 255 GROUP BY text",
+    "lattice_nodes": f"WITH {_STATES} {_BEST} SELECT item.key, CAST(l AS INTEGER) AS label, count(*) AS n, sum(s) AS score, count(*) FILTER (WHERE l = best.y) AS on_path, CAST(sum(CASE WHEN l = best.y THEN (item.i - 1) % 97 + 1 ELSE 0 END) AS BIGINT) AS places FROM item JOIN best USING (key, i) GROUP BY ALL",
+    "lattice_edges": f"WITH {_STATES} {_BEST} SELECT key, CAST(p AS INTEGER) AS \"from\", CAST(y AS INTEGER) AS \"to\", count(*) AS n, sum(w) AS weight FROM steps JOIN tw ON idx = p * 6 + y GROUP BY ALL",
+    "explain_path_free": f"WITH {_STATES} {_BEST} , parts AS (SELECT steps.key, steps.i, steps.y, item.s AS state, CASE WHEN steps.i = 1 THEN bw.w ELSE 0.0 END AS b, coalesce(tw.w, 0.0) AS m, CASE WHEN steps.i = steps.n THEN ew.w ELSE 0.0 END AS e FROM steps JOIN item ON item.key = steps.key AND item.i = steps.i AND item.l = steps.y JOIN bw ON bw.idx = steps.y JOIN ew ON ew.idx = steps.y LEFT JOIN tw ON tw.idx = p * 6 + steps.y) SELECT key, sum(state) AS state, CAST(sum(b) AS DOUBLE) AS begin, CAST(sum(m) AS DOUBLE) AS move, CAST(sum(e) AS DOUBLE) AS \"end\", CAST(sum(state + b + m + e) AS DOUBLE) AS total, CAST(sum(y * ((i - 1) % 97 + 1)) AS BIGINT) AS labels FROM parts GROUP BY key",
+    "stream_tags": f"WITH {_SENTENCES} {_TAGS} SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM tagged) GROUP BY tag",
     "word_count": f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), {_WS})) AS word FROM documents) WHERE word <> '' GROUP BY word",
     "char_explode": "SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY ch",
     "template_expand": f"WITH {_FEATURES} SELECT key, split_part(feature, ':', 1) AS template, count(*) AS n, count(*) FILTER (WHERE contains(feature, '_B-') OR contains(feature, '_B+')) AS n_boundary, min(feature) AS first, max(feature) AS last FROM expanded GROUP BY ALL",

@@ -6,15 +6,14 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written below ``spark.checkpoint.dir`` and read back; goes when the driver ends.
+def folder(spark: SparkSession, label: str) -> str:
+    """A new path below ``spark.checkpoint.dir``, for one writer; what is there goes when the driver ends.
 
     Where that folder is unset a temporary one serves, in one process only.
     """
-    spark = df.sparkSession
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.match(r"local($|\[)", spark.sparkContext.master):
@@ -22,7 +21,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
         found = tempfile.mkdtemp(prefix="lexmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     path = f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to a folder of its own and read back."""
+    spark = df.sparkSession
+    path = folder(spark, label)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
