@@ -134,9 +134,10 @@ def explain_path(states: DataFrame, best: DataFrame, small: dict) -> DataFrame:
 
 def lattice(states: DataFrame, best: DataFrame, small: dict) -> tuple[DataFrame, DataFrame]:
     """Nodes (with their scores, and whether on the best path) and the best path's edges."""
-    nodes = states.select("key", F.posexplode("states").alias("pos", "s")).select("key", "pos", F.posexplode("s").alias("label", "score"))
-    path = best.select("key", F.posexplode("label_ids").alias("pos", "label")).withColumn("best", F.lit(True))
-    nodes = nodes.join(path, ["key", "pos", "label"], "left").withColumn("best", F.coalesce("best", F.lit(False)))
+    # sentences meet their paths before they are taken apart
+    placed = states.select("key", "states").join(best.select("key", "label_ids"), "key", "left").select("key", "label_ids", F.posexplode("states").alias("pos", "s"))
+    nodes = placed.select("key", "pos", F.get("label_ids", F.col("pos")).alias("chosen"), F.posexplode("s").alias("label", "score"))
+    nodes = nodes.select("key", "pos", "label", "score", F.coalesce(F.col("chosen") == F.col("label"), F.lit(False)).alias("best"))
     tw = F.array(*[F.lit(x) for x in small["tw"]])
     steps = best.select("key", F.explode(F.when(F.size("label_ids") > 1, F.zip_with(F.slice("label_ids", F.lit(1), F.size("label_ids") - 1), F.slice("label_ids", F.lit(2), F.size("label_ids") - 1), lambda a, b: F.struct(a.alias("from"), b.alias("to"))))).alias("e"))
     return nodes, steps.select("key", "e.from", "e.to", F.get(tw, F.col("e.from") * LABELS + F.col("e.to")).alias("weight"))

@@ -18,7 +18,7 @@ from lexmill.functions import text as X
 from lexmill.operators import decode, dictseg, features, hybrid, instances, model, pretok, train
 from lexmill.sources import corpus
 from lexmill.sources.config import TrainingParams
-from lexmill.sources.shared import folder
+from lexmill.sources.shared import folder, written
 from lexmill.streaming import streams
 
 #: thresholds of the filter query
@@ -510,7 +510,7 @@ def classic_tokens(spark, d):
 def _free_path(spark, d):
     """States of all items and the best path without transitions."""
     enc, dictionary = _sentence_instances(spark, d)
-    aw = synthetic_attr_weights(dictionary)
+    enc, aw = written(enc, "instances"), synthetic_attr_weights(dictionary)
     return decode.sentence_states(enc, aw), decode.viterbi(enc, aw, _free(spark))
 
 
