@@ -31,13 +31,20 @@ def column_corpus(spark: SparkSession, path: str, labelled: bool = True) -> Data
 def column_text(texts: DataFrame, id_col: str, labelled: bool = True, value: str = "value") -> DataFrame:
     """S3 over texts.  Lines with another number of columns than the text's first raise an error."""
     blocks = texts.select(id_col, F.posexplode(F.split(value, r"\n(?:[ \t\r]*\n)+")).alias("sent_no", "block"))
-    lines = F.filter(F.split("block", "\n"), X.not_blank)
-    rows = blocks.select(id_col, "sent_no", F.transform(lines, lambda x: F.split(F.trim(F.regexp_replace(x, r"[\x00-\x20]+", " ")), " ")).alias("rows")).where(F.size("rows") > 0)
-    width = F.size(F.get("rows", F.lit(0)))
-    checked = rows.withColumn("width", F.when(F.forall("rows", lambda r: F.size(r) == width), width).otherwise(F.raise_error(F.lit("inconsistent number of columns")).cast("int")))
-    keep = F.col("width") - (1 if labelled else 0)
-    out = checked.select(id_col, "sent_no", F.transform("rows", lambda r: F.slice(r, F.lit(1), keep)).alias("cols"), (F.transform("rows", lambda r: F.element_at(r, -1)) if labelled else F.lit(None).cast("array<string>")).alias("labels"), F.size("rows").alias("n"))
-    return out
+
+    def cells(line):
+        return X.bind(F.trim(F.regexp_replace(line, r"[\x00-\x20]+", " ")), lambda x: F.split(x, " "))
+
+    # lines are taken apart once a block: what several columns read would be worked out for each, and inside a lambda for each line
+    def parts(rows):
+        return X.bind(F.size(F.get(rows, F.lit(0))), lambda width: F.struct(
+            F.transform(rows, lambda r: F.when(F.size(r) == width, F.slice(r, F.lit(1), width - (1 if labelled else 0))).otherwise(F.raise_error(F.lit("inconsistent number of columns")).cast("array<string>"))).alias("cols"),
+            (F.transform(rows, lambda r: F.element_at(r, -1)) if labelled else F.lit(None).cast("array<string>")).alias("labels"),
+            F.size(rows).alias("n"),
+        ))
+
+    made = blocks.select(id_col, "sent_no", F.explode(F.transform(F.array(F.transform(F.filter(F.split("block", "\n"), X.not_blank), cells)), parts)).alias("x"))
+    return made.where("x.n > 0").select(id_col, "sent_no", "x.cols", "x.labels", "x.n")
 
 
 def column_labels(sequences: DataFrame) -> DataFrame:

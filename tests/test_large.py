@@ -119,3 +119,8 @@ def test_folded_queries_shuffle_sums_only(spark, corpus, query):
 @pytest.mark.parametrize("query", ["descending_scores", "reverse_lookup", "model_saved", "weight_average", "truncate_model", "feature_shrink"])
 def test_texts_are_read_once_for_a_dictionary(spark, corpus, query):
     assert "documents.parquet" not in getattr(catalog, query)(spark, corpus)._jdf.queryExecution().optimizedPlan().toString() + str(getattr(catalog, query)(spark, corpus).inputFiles())
+
+
+def test_columns_are_taken_apart_once(spark, corpus):
+    plan = catalog.crfpp_parse(spark, corpus)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(block") == 1
