@@ -124,3 +124,14 @@ def test_texts_are_read_once_for_a_dictionary(spark, corpus, query):
 def test_columns_are_taken_apart_once(spark, corpus):
     plan = catalog.crfpp_parse(spark, corpus)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(block") == 1
+
+
+def test_best_paths_of_equal_scores_in_order():
+    # whole numbers of a small range, so that ties are many
+    rng = np.random.default_rng(6)
+    score, trans = -np.sort(-rng.integers(-1, 2, (6, 3, 200)).astype(float), axis=1), rng.integers(-1, 2, (6, 6)).astype(float)
+    score[:, 1:, :40] = -np.inf
+    reach = (score.transpose(2, 0, 1)[:, None] + trans.T[None, :, :, None]).reshape(200, 6, 18)
+    order = np.argsort(-reach, axis=2, kind="stable")[:, :, :3]
+    best, which = crf._best_across(score, trans)
+    assert (best == np.take_along_axis(reach, order, 2).transpose(2, 1, 0)).all() and (which == order.transpose(2, 1, 0)).all()
