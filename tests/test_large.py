@@ -126,6 +126,19 @@ def test_columns_are_taken_apart_once(spark, corpus):
     assert plan.count("split(block") == 1
 
 
+def test_explained_items_are_summed_up_where_they_lie(encoded, monkeypatch):
+    rows, found = encoded
+    aw = catalog.synthetic_attr_weights(found).where("attr_id % 7 <> 3")
+    enc = instances.encode_words(rows, "key", "words", found)
+    got = model.explained_sums(enc, found, aw)
+    strongest = F.get("features", F.lit(0))["attr_id"].cast("long") * (F.col("pos") % 97 + 1)
+    want = model.explain(enc, found, aw, most=1).groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.sum("n_features").cast("long").alias("n_features"), F.sum(strongest).alias("strongest"))
+    same(got, want)
+    assert exchanges(got) == 0
+    monkeypatch.setattr(decode, "SENT_WEIGHTS", 3)
+    same(model.explained_sums(enc, found, aw), want)
+
+
 def test_best_paths_of_equal_scores_in_order():
     # whole numbers of a small range, so that ties are many
     rng = np.random.default_rng(6)
