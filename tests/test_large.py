@@ -8,6 +8,7 @@ from lexmill.functions import templates as tp
 from lexmill.functions import text as X
 from lexmill.operators import crf, decode, features, instances, model, train
 from lexmill.plans import catalog
+from lexmill.sources import shared
 from lexmill.sources.config import TrainingParams
 
 WORDS = [("a", ["ab", "c", "abcde", "x"]), ("b", ["b"]), ("c", ["ça", "日本語", "𝄞x", "b-"]), ("d", ["ab"] * 30 + ["longest"] * 9)]
@@ -148,3 +149,13 @@ def test_best_paths_of_equal_scores_in_order():
     order = np.argsort(-reach, axis=2, kind="stable")[:, :, :3]
     best, which = crf._best_across(score, trans)
     assert (best == np.take_along_axis(reach, order, 2).transpose(2, 1, 0)).all() and (which == order.transpose(2, 1, 0)).all()
+
+
+def test_a_large_row_group_is_dealt_out(spark, tmp_path):
+    path = str(tmp_path / "one")
+    spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).coalesce(1).write.parquet(path)
+    got = shared.spread(spark.read.parquet(path), "doc_id")
+    held = [r[1] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 20_000 and max(held) < 5_000
+    small = spark.read.parquet(path).limit(9)
+    assert shared.spread(small, "doc_id") is small
