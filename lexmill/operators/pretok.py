@@ -5,9 +5,15 @@ The pattern takes every character of a text, so offsets are running sums.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions import codes
 from lexmill.functions import text as X
 
 MAX_TOKEN = 255
@@ -17,6 +23,10 @@ PATTERN = (
     r"\p{IsHan}\p{M}*|\p{IsHiragana}\p{M}*|[\p{IsKatakana}ー]+\p{M}*|\p{IsHangul}+|[\p{IsThai}\p{IsLao}\p{IsMyanmar}\p{IsKhmer}]+"
     rf"|_*(?:{_L}|{_N})(?:_+(?:{_L}|{_N})|(?<=[\p{{L}}\p{{M}}])[:.'](?={_L}){_L}|(?<={_N})[.',;](?={_N}){_N}|{_L}|{_N})*_*|(?s:.)"
 )
+#: runs of ideographs are taken whole by the pattern itself
+COVERING = r"(?:\p{IsHan}\p{M}*)+|" + PATTERN.split("|", 1)[1]
+#: types of groups by a letter; L is a piece too long for a token, which falls into its characters
+GROUPS = {"C": "CWORD", "A": "ALPHA", "N": "NUMBER", "U": "UNKNOWN", "P": "PUNCT", "L": "PUNCT"}
 CLASSIC_PATTERN = (
     r"[\p{L}\p{N}]+(?:[._-][\p{L}\p{N}]+)*@[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)+"  # mail
     r"|(?:[A-Za-z]\.){2,}"  # acronym
@@ -83,9 +93,7 @@ def groups(text: Column, legacy_trailing_drop: bool = False) -> Column:
 
     ``legacy_trailing_drop`` loses what follows the last token, as the original does.
     """
-    # runs of ideographs are taken whole by the pattern itself
-    covering = r"(?:\p{IsHan}\p{M}*)+|" + PATTERN.split("|", 1)[1]
-    pieces = F.regexp_extract_all(text, F.lit(covering), F.lit(0))
+    pieces = F.regexp_extract_all(text, F.lit(COVERING), F.lit(0))
     kind = _type
 
     def named(p: Column) -> Column:
@@ -103,3 +111,65 @@ def groups(text: Column, legacy_trailing_drop: bool = False) -> Column:
 
         out = X.bind(out, cut)
     return out
+
+
+def _letter(piece: Column) -> Column:
+    """The letter of a piece's group, with few patterns tried on common pieces."""
+    scripts = r"\p{IsHiragana}\p{IsKatakana}ー\p{IsHangul}\p{IsThai}\p{IsLao}\p{IsMyanmar}\p{IsKhmer}"
+    return (
+        F.when(piece.rlike(r"^\p{IsHan}"), "C")
+        .when(F.length(piece) > MAX_TOKEN, "L")
+        .when(~piece.rlike(rf"^[{scripts}]|[\p{{L}}\p{{Nd}}]"), "P")
+        .when(piece.rlike(rf"^[{scripts}]"), "U")
+        .when(piece.rlike(r"\p{L}"), "A")
+        .otherwise("N")
+    )
+
+
+def lettered(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, pieces, letters``: the pieces of ``groups``, long ones whole, and a letter each of ``GROUPS``."""
+    held = texts.select(F.col(key).alias("key"), F.regexp_extract_all(F.col(text), F.lit(COVERING), F.lit(0)).alias("pieces"))
+    return held.select("key", "pieces", F.array_join(F.transform("pieces", _letter), "").alias("letters"))
+
+
+def cut_pieces(batches: Iterator[pa.RecordBatch], cut: Callable[[str, str], list[str]]) -> Iterator[tuple]:
+    """Stretches of ``lettered`` texts: keys, tokens of each text, and of all tokens texts, begins, ends and letters.
+
+    ``cut(piece, letter)`` gives a piece's tokens, once for each distinct piece of a stretch.
+    """
+    for batch in batches:
+        counts = np.asarray(pc.fill_null(pc.list_value_length(batch.column(1)), 0)).astype(np.int64)
+        for a, z in codes.slices(counts):
+            part, n = batch.slice(a, z - a), counts[a:z]
+            letters = np.frombuffer("".join(filter(None, part.column(2).to_pylist())).encode(), np.uint8)
+            coded = part.column(1).flatten().dictionary_encode()
+            place, pieces = np.asarray(coded.indices), coded.dictionary.to_pylist()
+            letter = np.zeros(len(pieces), np.uint8)
+            letter[place] = letters
+            made = pa.array([cut(p, chr(k)) for p, k in zip(pieces, letter.tolist(), strict=True)], pa.list_(pa.string()))
+            tokens = made.take(pa.array(place)).flatten()
+            each = np.asarray(pc.list_value_length(made)).astype(np.int64)[place]
+            before = np.concatenate(([0], np.cumsum(each)))[np.concatenate(([0], np.cumsum(n)))]
+            lengths = np.asarray(pc.utf8_length(tokens)).astype(np.int64)
+            ends = np.concatenate(([0], np.cumsum(lengths)))
+            begins = ends[:-1] - np.repeat(ends[before[:-1]], np.diff(before))
+            yield part.column(0), np.diff(before), tokens, begins.astype(np.int32), (begins + lengths).astype(np.int32), np.repeat(letters, each)
+
+
+def group_names(letters: np.ndarray) -> pa.Array:
+    """Types of groups from their letters."""
+    names = list(GROUPS)
+    place = np.zeros(128, np.int32)
+    place[[ord(k) for k in names]] = np.arange(len(names))
+    return pa.array(list(GROUPS.values())).take(pa.array(place[letters]))
+
+
+def group_rows(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, text, begin, end, type``: ``groups`` of texts as rows; pieces are cut and placed in Arrow, many texts at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n, tokens, begins, ends, letters in cut_pieces(batches, lambda p, k: list(p) if k == "L" else [p]):
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.repeat(np.arange(len(n)), n))), tokens, pa.array(begins), pa.array(ends), group_names(letters)], ["key", "text", "begin", "end", "type"])
+
+    held = lettered(texts, key, text)
+    return held.mapInArrow(run, f"key {held.schema['key'].dataType.simpleString()}, text string, begin int, end int, type string")

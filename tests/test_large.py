@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import templates as tp
 from lexmill.functions import text as X
-from lexmill.operators import crf, decode, features, instances, model, train
+from lexmill.operators import crf, decode, features, instances, model, pretok, train
 from lexmill.plans import catalog
 from lexmill.sources import shared
 from lexmill.sources.config import TrainingParams
@@ -159,3 +159,13 @@ def test_a_large_row_group_is_dealt_out(spark, tmp_path):
     assert sum(held) == 20_000 and max(held) < 5_000
     small = spark.read.parquet(path).limit(9)
     assert shared.spread(small, "doc_id") is small
+
+
+GROUPED = [("a", "我爱 3.14元 hello word_x か゚ ーア ก1 한글 ١٢ ́ 𝄞"), ("b", ""), ("c", None), ("d", "x" * 300 + " 的一是" + "不" * 300 + "。" + "1" * 256), ("e", "的一 的一是 一的"), ("f", "\n")]
+
+
+def test_groups_as_rows(spark):
+    texts = spark.createDataFrame(GROUPED, "k string, t string")
+    got = pretok.group_rows(texts, "k", "t")
+    same(got, texts.select(F.col("k").alias("key"), F.explode(pretok.groups(F.col("t"))).alias("g")).select("key", "g.text", "g.begin", "g.end", "g.type"))
+    assert exchanges(got) == 0
