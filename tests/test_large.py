@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import templates as tp
 from lexmill.functions import text as X
-from lexmill.operators import crf, decode, features, instances, model, pretok, train
+from lexmill.operators import crf, decode, features, hybrid, instances, model, pretok, train
 from lexmill.plans import catalog
 from lexmill.sources import shared
 from lexmill.sources.config import TrainingParams
@@ -169,3 +169,18 @@ def test_groups_as_rows(spark):
     got = pretok.group_rows(texts, "k", "t")
     same(got, texts.select(F.col("k").alias("key"), F.explode(pretok.groups(F.col("t"))).alias("g")).select("key", "g.text", "g.begin", "g.end", "g.type"))
     assert exchanges(got) == 0
+
+
+def test_texts_are_cut_where_they_lie(spark, monkeypatch):
+    texts = spark.createDataFrame(GROUPED, "k string, t string")
+    words = spark.createDataFrame([("的一",), ("一是",), ("是不",), ("不不不",)], "word string")
+    found = features.dictionary(features.count_sentences(texts, F.col("t"))).localCheckpoint()
+    given = (texts, "k", "t", words, found, catalog.synthetic_attr_weights(found), catalog.synthetic_model_weights(spark))
+    sent = hybrid.segment_texts(*given)
+    assert exchanges(sent) == 0
+    rows = hybrid.segment(*given)
+    want = {k: t for k, t in GROUPED if t}
+    assert {r.key: "".join(t.text for t in r.tokens) for r in sent.collect()} == want
+    monkeypatch.setattr(hybrid, "SENT_RUNS", 1)
+    same(sent, hybrid.segment_texts(*given))
+    same(rows, hybrid.segment(*given))
