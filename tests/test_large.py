@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill.functions import tags as tg
 from lexmill.functions import templates as tp
 from lexmill.functions import text as X
 from lexmill.operators import crf, decode, features, hybrid, instances, model, pretok, train
@@ -184,3 +185,12 @@ def test_texts_are_cut_where_they_lie(spark, monkeypatch):
     monkeypatch.setattr(hybrid, "SENT_RUNS", 1)
     same(sent, hybrid.segment_texts(*given))
     same(rows, hybrid.segment(*given))
+
+
+def test_words_from_tags_of_long_lines(spark):
+    long = "𝄞x\nSB" * 20_000
+    rows = [("a", ["B"] + ["M"] * (len(long) - 2) + ["E"], long), ("b", ["S", "B", "E", "E", "M", "B", None, "S"], "SBE\nxB𝄞S"), ("c", ["S", "S", "S"], "ab"), ("d", ["B", "E"], "abc"), ("e", [], "a"), ("f", ["S"], None)]
+    got = spark.createDataFrame(rows, "k string, t array<string>, s string").select("k", tg.tags_to_words(F.col("t"), F.col("s")).alias("w"))
+    assert dict(got.collect()) == {"a": [long], "b": ["S", "BE", "\n", "x", "B𝄞", "S"], "c": ["a", "b", ""], "d": ["ab"], "e": [], "f": [None]}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "B.(?:x.)*+(?:E.)?" in plan
