@@ -194,3 +194,64 @@ def test_words_from_tags_of_long_lines(spark):
     assert dict(got.collect()) == {"a": [long], "b": ["S", "BE", "\n", "x", "B𝄞", "S"], "c": ["a", "b", ""], "d": ["ab"], "e": [], "f": [None]}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "B.(?:x.)*+(?:E.)?" in plan
+
+
+ODD_TEXTS = [(1, "So  das\tHaus\n\n x \n"), (2, None), (3, ""), (4, "\n"), (5, " \x0b\f\r\t"), (None, "Ämter 𝄞x ça\x85b　c\n日本語"), (7, "ab" * 700 + "\r\nabcde a"), (8, "x"), (9, "\nab c")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    from lexmill.operators.lines import Lines
+
+    return Lines(spark.createDataFrame(ODD_TEXTS, "doc_id long, text string").repartition(2), "doc_id", "text")
+
+
+def test_lines_are_cut_where_they_lie(odd):
+    rows = odd.sentences()
+    lengths = F.expr("aggregate(words, 0, (a, w) -> a | shiftleft(1, least(length(w), 5)))")
+    same(odd.heads(), rows.select("key", F.length(F.array_join("words", "")).cast("long").alias("n"), lengths.alias("lengths")))
+    assert exchanges(odd.heads().select("n")) <= 1
+    for templates in (tp.DEFAULT_TEMPLATES, [tp.parse("U07:%x[-4,0]%x[3,0]")]):
+        same(features.line_windows(odd, templates), features.windows(rows, F.array_join("words", ""), templates))
+        same(features.count_lines(odd, templates), features.count_sentences(rows, F.array_join("words", ""), templates))
+
+
+@pytest.mark.parametrize("most", [500_000, 3])
+def test_lines_are_encoded_and_scored_on_the_way(odd, most, monkeypatch):
+    from lexmill.operators.lines import Encoding
+
+    spark, rows = odd.texts.sparkSession, odd.sentences()
+    found = features.dictionary(features.count_lines(odd).where("feature <> 'U01:x'")).localCheckpoint()
+    aw = catalog.synthetic_attr_weights(found).where("attr_id % 7 <> 3")
+    small, free = catalog.synthetic_model_weights(spark), catalog._free(spark)
+    enc, ids = Encoding(odd, found), instances.encode_words(rows, "key", "words", found)
+    held = decode.viterbi(ids, aw, free, states=True)
+    steps, (nodes, _) = model.explain_path(held, None, decode.small_weights(small)), model.lattice(held, None, decode.small_weights(small))
+    totals = [F.sum(c).alias(c) for c in ("state", "begin", "move", "end", "total")]
+    want = [
+        decode.path_scores(ids, aw, small), decode.log_probs(ids, aw, free).select("key", F.round("logp", 9).alias("logp")), decode.viterbi(ids, aw, small),
+        decode.attribute_rows(ids, aw).select("key", F.posexplode("s").alias("label", "s")).groupBy("key", "label").agg(F.sum("s").alias("score")),
+        steps.groupBy("key").agg(*totals, F.sum(F.col("label") * (F.col("pos") % 97 + 1)).alias("labels")),
+        nodes.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.count_if("best").alias("on_path"), F.sum(F.when(F.col("best"), F.col("pos") % 97 + 1).otherwise(0)).alias("places")),
+        decode.viterbi(ids, aw, small).select("key", F.array_join(tg.tag_text(F.col("label_ids")), " ").alias("tags")),
+    ]
+    want = [df.localCheckpoint() for df in want]
+    monkeypatch.setattr(decode, "SENT_WEIGHTS", most)
+    got = [decode.path_scores(enc, aw, small), decode.log_probs(enc, aw, free).select("key", F.round("logp", 9).alias("logp")), decode.viterbi(enc, aw, small), decode.state_sums(enc, aw), model.path_sums(enc, aw, free, small), model.lattice_sums(enc, aw, free), decode.viterbi(enc, aw, small, text=True)]
+    for a, b in zip(got, want, strict=True):
+        same(a, b)
+
+
+@pytest.mark.parametrize("query", ["viterbi", "path_score", "loglik_zero", "state_scores", "lattice_nodes", "explain_path", "explain_path_free"])
+def test_ids_and_states_stay_where_they_are_made(spark, corpus, query):
+    plan = getattr(catalog, query)(spark, corpus)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "explode(states" not in plan and "array<array<" not in plan
+
+
+def test_one_long_sentence_among_short_ones():
+    rng = np.random.default_rng(8)
+    lengths = np.array([1, 900, 2] + [5] * 100)
+    w = crf.Weights(*(rng.integers(-2, 3, s).astype(float) for s in ((6,), (6,), (6, 6), (int(lengths.sum()), 6))))
+    got = crf.viterbi_all(w, w.aw, lengths)
+    for a, z in zip(np.cumsum(lengths) - lengths, np.cumsum(lengths), strict=True):
+        assert got[a:z].tolist() == crf.viterbi(w, np.arange(a, z)[:, None]).tolist()
