@@ -216,6 +216,13 @@ def test_lines_are_cut_where_they_lie(odd):
         same(features.count_lines(odd, templates), features.count_sentences(rows, F.array_join("words", ""), templates))
 
 
+def test_first_pass_of_lines(odd):
+    got, want = train.first_pass_of_lines(odd, 3), train.first_pass(odd.sentences(), "key", "words", 3)
+    for a, b in zip(got[:2] + got[3:], want[:2] + want[3:], strict=True):
+        same(a, b)
+    same(got[2], want[2].select("key"))
+
+
 @pytest.mark.parametrize("most", [500_000, 3])
 def test_lines_are_encoded_and_scored_on_the_way(odd, most, monkeypatch):
     from lexmill.operators.lines import Encoding
