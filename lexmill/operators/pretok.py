@@ -5,6 +5,7 @@ The pattern takes every character of a text, so offsets are running sums.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ from lexmill.functions import codes
 from lexmill.functions import text as X
 
 MAX_TOKEN = 255
+#: distinct stretches between spaces that a task holds before it hands on their numbers
+HELD_WORDS = 500_000
 _L, _N = r"[\p{L}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}\p{IsLao}\p{IsMyanmar}\p{IsKhmer}]]\p{M}*", r"\p{Nd}"
 #: word-break rules: a letter run may go on over : . ' and a digit run over . ' , ; where the same kind follows
 PATTERN = (
@@ -72,11 +75,37 @@ def tokens(text: Column, mode: str = "uax29", max_token: int = MAX_TOKEN) -> Col
     return X.bind(pieces, lambda held: _placed(held, lambda p: F.when(F.length(p) <= max_token, kind(p)), lambda p: p))
 
 
+def spaced(texts: DataFrame, text: str) -> DataFrame:
+    """``word, n``: the distinct stretches of all texts between spaces and line feeds, and these themselves, with their number.
+
+    No piece of either pattern, and no run of letters, reaches over a space or depends on what stands
+    beyond it, so what is cut from distinct stretches is what texts hold.
+    """
+    given = texts.select(F.col(text).alias("text")).where(F.length("text") > 0)
+    return given.mapInArrow(_spaced, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _spaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shown() -> pa.RecordBatch:
+        held.pop("", None)
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+
+    held: Counter[str] = Counter()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            held.update({c: n for c in " \n" if (n := text.count(c))})
+            held.update(text.replace("\n", " ").split(" "))
+            if len(held) > HELD_WORDS:
+                yield shown()
+                held = Counter()
+    yield shown()
+
+
 def piece_types(texts: DataFrame, text: str, mode: str = "uax29", max_token: int = MAX_TOKEN) -> DataFrame:
-    """``piece, type, n``: distinct pieces of all texts with their number; equal pieces are typed once and need no offsets."""
-    pieces = texts.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(PATTERN if mode == "uax29" else CLASSIC_PATTERN), F.lit(0))).alias("piece"))
+    """``piece, type, n``: distinct pieces of all texts with their number; equal stretches are cut and equal pieces typed once, and need no offsets."""
+    pieces = spaced(texts, text).select(F.explode(F.regexp_extract_all(F.col("word"), F.lit(PATTERN if mode == "uax29" else CLASSIC_PATTERN), F.lit(0))).alias("piece"), "n")
     kind = (_type if mode == "uax29" else _classic_type)(F.col("piece"))
-    return pieces.groupBy("piece").agg(F.count("*").alias("n")).select("piece", F.when(F.length("piece") <= max_token, kind).alias("type"), "n")
+    return pieces.groupBy("piece").agg(F.sum("n").alias("n")).select("piece", F.when(F.length("piece") <= max_token, kind).alias("type"), "n")
 
 
 def _placed(pieces: Column, kind, text) -> Column:

@@ -262,3 +262,14 @@ def test_one_long_sentence_among_short_ones():
     got = crf.viterbi_all(w, w.aw, lengths)
     for a, z in zip(np.cumsum(lengths) - lengths, np.cumsum(lengths), strict=True):
         assert got[a:z].tolist() == crf.viterbi(w, np.arange(a, z)[:, None]).tolist()
+
+
+@pytest.mark.parametrize("mode", ["uax29", "classic"])
+def test_equal_stretches_are_cut_once(spark, mode, monkeypatch):
+    texts = spark.createDataFrame([("a b.c_ d\u0301 \u0301x\n\n3.14, a@b.c U.S. o'clock",), ("我 爱\t\u3000ー か゚ x:y \x85\xa0a", ), ("",), (None,), ("  a\r\nb " * 3,)], "t string")
+    pattern = pretok.PATTERN if mode == "uax29" else pretok.CLASSIC_PATTERN
+    want = texts.select(F.explode(F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+    monkeypatch.setattr(pretok, "HELD_WORDS", 3)
+    got = pretok.piece_types(texts, "t", mode)
+    same(got.select("piece", "n"), want)
+    assert "extract_all(word" in got._jdf.queryExecution().optimizedPlan().toString()
