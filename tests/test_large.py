@@ -264,6 +264,24 @@ def test_one_long_sentence_among_short_ones():
         assert got[a:z].tolist() == crf.viterbi(w, np.arange(a, z)[:, None]).tolist()
 
 
+def test_runs_are_walked_where_they_lie(spark, monkeypatch):
+    from lexmill.operators import dictseg
+
+    rng = np.random.default_rng(9)
+    drawn = ["".join(rng.choice(list("ab𝄞"), n)) for n in (1, 2, 3, 5, 8, 13, 400) for _ in range(4)]
+    runs = spark.createDataFrame([(r,) for r in [*drawn, "", None, "a"]], "run string")
+    words = spark.createDataFrame([(w,) for w in ("ab", "ba", "aab", "b𝄞", "𝄞ab", "bbaa", "a", "abab𝄞a", None)], "word string")
+
+    def all_of():
+        return [f(runs.where("run IS NOT NULL"), words) for f in (dictseg.forward, dictseg.backward, dictseg.both, dictseg.disagreements)]
+
+    sent = all_of()
+    assert all("Join" not in df._jdf.queryExecution().optimizedPlan().toString() for df in sent)
+    monkeypatch.setattr(dictseg, "SENT_WORDS", 3)
+    for a, b in zip(sent, all_of(), strict=True):
+        same(a, b)
+
+
 @pytest.mark.parametrize("mode", ["uax29", "classic"])
 def test_equal_stretches_are_cut_once(spark, mode, monkeypatch):
     texts = spark.createDataFrame([("a b.c_ d\u0301 \u0301x\n\n3.14, a@b.c U.S. o'clock",), ("我 爱\t\u3000ー か゚ x:y \x85\xa0a", ), ("",), (None,), ("  a\r\nb " * 3,)], "t string")
@@ -273,3 +291,8 @@ def test_equal_stretches_are_cut_once(spark, mode, monkeypatch):
     got = pretok.piece_types(texts, "t", mode)
     same(got.select("piece", "n"), want)
     assert "extract_all(word" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("query", ["fmm", "bmm", "seg_disagreement"])
+def test_texts_are_read_once_for_runs(spark, corpus, query):
+    assert "documents.parquet" not in str(getattr(catalog, query)(spark, corpus).inputFiles())
