@@ -296,3 +296,41 @@ def test_equal_stretches_are_cut_once(spark, mode, monkeypatch):
 @pytest.mark.parametrize("query", ["fmm", "bmm", "seg_disagreement"])
 def test_texts_are_read_once_for_runs(spark, corpus, query):
     assert "documents.parquet" not in str(getattr(catalog, query)(spark, corpus).inputFiles())
+
+
+def test_windows_are_tallied_over_stretches(monkeypatch):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from lexmill.functions import codes
+
+    rng = np.random.default_rng(11)
+    # few symbols, then many, then some past 16 bits; narrow windows, and ones of too many rows for one number
+    texts = ["".join(map(chr, rng.integers(low, high, n))) for low, high in ((97, 100), (0x4E00, 0x5E00), (0x1F300, 0x1F310)) for n in (1, 2, 3, 50, 700)]
+    monkeypatch.setattr(codes, "SLICE_ITEMS", 400)
+    for rows in (range(-1, 2), range(0, 1), range(-4, 5), range(0, 4)):
+        held, want = codes.Tally(rows), Counter()
+        for a in range(0, len(texts), 2):
+            part = texts[a : a + 2]
+            held.add(codes.code_points(pa.array(part)), np.array([len(t) for t in part]))
+        for t in texts:
+            beyond = {-d: f"_B-{d}" for d in range(1, 5)} | {len(t) - 1 + d: f"_B+{d}" for d in range(1, 5)}
+            want.update(tuple(t[i + r] if 0 <= i + r < len(t) else beyond[i + r] for r in rows) for i in range(len(t)))
+        held.merge()
+        assert held.size == len(want)
+        values, n = held.taken()
+        assert dict(zip(zip(*(v.to_pylist() for v in values), strict=True), n.to_pylist(), strict=True)) == want and held.size == 0
+        assert len(held.taken()[1]) == 0
+
+
+def test_many_windows_are_handed_on(odd, monkeypatch):
+    want = features.windows(odd.sentences(), F.array_join("words", "")).localCheckpoint()
+    monkeypatch.setattr(features, "HELD_WINDOWS", 1)
+    same(features.line_windows(odd), want)
+
+
+@pytest.mark.parametrize("query", ["feature_count", "feature_filter_stat"])
+def test_texts_are_lower_cased_once(spark, corpus, query):
+    plan = getattr(catalog, query)(spark, corpus)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(text") == 1
