@@ -334,3 +334,11 @@ def test_many_windows_are_handed_on(odd, monkeypatch):
 def test_texts_are_lower_cased_once(spark, corpus, query):
     plan = getattr(catalog, query)(spark, corpus)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lower(text") == 1
+
+
+@pytest.mark.parametrize("query", ["weight_average", "feature_scores", "topn_features", "truncate_model", "weight_kinds", "reverse_lookup", "model_saved", "descending_scores"])
+def test_windows_are_counted_once_for_a_model(spark, corpus, query, monkeypatch):
+    counted, count_lines = [], features.count_lines
+    monkeypatch.setattr(features, "count_lines", lambda *given: counted.append(1) or count_lines(*given))
+    getattr(catalog, query)(spark, corpus)
+    assert len(counted) == 1
